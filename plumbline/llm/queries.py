@@ -5,10 +5,12 @@ from __future__ import annotations
 from plumbline.llm.bpe import op3_bpe
 from plumbline.llm.decontam import op5_decontaminate
 from plumbline.llm.quality_rules import op8_repetition
+from plumbline.llm.simhash import op6_simhash
 
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op5_decontaminate": op5_decontaminate,
+    "op6_simhash": op6_simhash,
     "op8_repetition": op8_repetition,
 }
 ORACLES: dict[str, str] = {}
