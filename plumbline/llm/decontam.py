@@ -281,8 +281,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_
     cut = F.aggregate(
         "chars",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda x, s: F.struct(s["b"].alias("at"), F.concat(x["out"], F.substr("text", x["at"] + 1, s["a"] - x["at"])).alias("out")),
-        lambda x: F.concat(x["out"], F.substr("text", x["at"] + 1)),
+        lambda x, s: F.struct(s["b"].alias("at"), F.concat(x["out"], F.substr(F.col("text"), x["at"] + 1, s["a"] - x["at"])).alias("out")),
+        lambda x: F.concat(x["out"], F.substr(F.col("text"), x["at"] + 1)),
     )
     kept = got.where(~(share | long))
     return kept.withColumn("text", F.when(F.size("chars") > 0, cut).otherwise(F.col("text"))).select(*names)
