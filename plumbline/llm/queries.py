@@ -8,12 +8,14 @@ from plumbline.llm.decontam import op5_decontaminate
 from plumbline.llm.pii import op2_pii
 from plumbline.llm.quality_rules import op8_repetition
 from plumbline.llm.secrets import op9_secrets
+from plumbline.llm.sharding import op4_sharding
 from plumbline.llm.simhash import op6_simhash
 
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_pii": op2_pii,
     "op3_bpe": op3_bpe,
+    "op4_sharding": op4_sharding,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op8_repetition": op8_repetition,
