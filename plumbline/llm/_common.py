@@ -47,14 +47,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, df: DataFrame) -> None:
+    """Removes what written() returned, once nothing reads it any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @atexit.register
 def _sweep() -> None:
     """Removes what written() left, if Spark still runs then."""
     for spark, path in _WRITTEN:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001  the session has ended
             return
 
