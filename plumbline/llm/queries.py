@@ -6,6 +6,7 @@ import corpus_pipeline
 from plumbline.llm.bpe import op3_bpe
 from plumbline.llm.chat import op1_chat
 from plumbline.llm.decontam import op5_decontaminate
+from plumbline.llm.lm import op10_lm
 from plumbline.llm.pii import op2_pii
 from plumbline.llm.quality_model import op7_quality
 from plumbline.llm.quality_rules import op8_repetition
@@ -24,5 +25,6 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_repetition": op8_repetition,
     "op9_secrets": op9_secrets,
+    "op10_lm": op10_lm,
 }
 ORACLES: dict[str, str] = {}
