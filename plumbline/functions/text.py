@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The normaliser's patterns and replacements, in the order in which they apply.
 # Heading marks go; an image leaves its path, a link its text and its target; emphasis, strike-out
@@ -53,7 +54,7 @@ def normalize_python(text: str | None) -> str:
     return re.sub(r"\s+", "", out.translate(str.maketrans(FOLD))).lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_exact(texts):  # noqa: ANN001, ANN201
     """normalize_python() over Arrow batches, for corpora with other compatibility forms."""
     return texts.map(normalize_python)

@@ -17,13 +17,14 @@ class ComparisonError(ValueError):
 
 def blockers(runs: DataFrame) -> DataFrame:
     """run_id and blockers: why a run isn't eligible for comparison; empty if it is."""
+    given = lambda c, else_: F.coalesce(F.col(c), F.lit(else_)) if c in runs.columns else F.lit(else_)  # noqa: E731  optional columns
     why = {
         "run_not_completed": F.col("run_status") != "completed",
         "run_scope_not_full": F.col("run_scope") != "full",
-        "dataset_revision_unverified": F.coalesce(F.col("dataset_revision"), F.lit("unverified")) == "unverified",
-        "git_dirty": F.coalesce("git_dirty", F.lit(False)),
-        "unmatched_document_names": F.coalesce("unmatched", F.lit(0)) > 0,
-        "corpus_drift": F.coalesce("corpus_drift", F.lit(False)),
+        "dataset_revision_unverified": given("dataset_revision", "unverified") == "unverified",
+        "git_dirty": given("git_dirty", False),
+        "unmatched_document_names": given("unmatched", 0) > 0,
+        "corpus_drift": given("corpus_drift", False),
     }
     return runs.select("run_id", F.array_compact(F.array(*(F.when(c, name) for name, c in why.items()))).alias("blockers"))
 

@@ -59,7 +59,7 @@ def bm25(chunks: DataFrame, questions: DataFrame, top: int = 10, least: int = 1,
 def anchors(text: Column) -> Column:
     """The longest inner word of a passage: any text that holds the passage holds it as a word between spaces or line feeds."""
     inner = F.slice(F.split(text, r"[ \n]"), 2, F.greatest(F.size(F.split(text, r"[ \n]")) - 2, F.lit(0)))
-    return F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    return F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
 
 
 def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
