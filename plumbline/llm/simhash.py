@@ -87,14 +87,16 @@ def cells(fp: Column, radius: int = RADIUS) -> Column:
     out = []
     for k in range(blocks):
         first, last = 32 * k // blocks, 32 * (k + 1) // blocks
-        point = F.shiftrightunsigned(bit_counts(fp), 2 * first).bitwiseAND(F.lit((1 << 2 * (last - first)) - 1).cast("long"))
-        # A cell of its own number of block above the fields; at radius 4 they take 32 bits.
-        out.append(point.bitwiseXOR(F.lit(k << 60 if blocks > 1 else 0).cast("long")))
+        mask = (1 << 2 * (last - first)) - 1 if last - first < 32 else -1
+        here = F.shiftrightunsigned(bit_counts(fp), 2 * first).bitwiseAND(F.lit(mask).cast("long"))
+        if blocks > 1:  # the number of the block, above its fields
+            here = here.bitwiseOR(F.lit(k << 60).cast("long"))
+        out.append(here)
         for i in range(last - first):
-            field = F.shiftrightunsigned(point, 2 * i).bitwiseAND(F.lit(3).cast("long"))
-            here = out[-1 - i * 2]
-            out.append(F.when(field < 2, here + F.lit(1 << 2 * i)))
-            out.append(F.when(field > 0, here - F.lit(1 << 2 * i)))
+            field = F.shiftrightunsigned(here, 2 * i).bitwiseAND(F.lit(3).cast("long"))
+            moved = lambda to, field=field, here=here, i=i: here.bitwiseXOR(F.shiftleft(field.bitwiseXOR(to), 2 * i))
+            out.append(F.when(field < 2, moved(field + 1)))
+            out.append(F.when(field > 0, moved(field - 1)))
     return F.array_compact(F.array(*out))
 
 
