@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from plumbline.llm._common import ship, table
+from plumbline.llm._common import ship, table, written
 from plumbline.llm.bpe import RANKS, codec
 
 BUDGET = 1024
@@ -138,7 +138,7 @@ def windows(
     history = min(history, budget)
     span = SEGMENT * budget
     rows = turns.select("conv_id", F.col("turn"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
-    rows = rows.withColumn("tok", _sizes(path)("text") + FRAME).withColumn("block", F.floor(F.col("turn") / BLOCK))
+    rows = written(rows.withColumn("tok", _sizes(path)("text") + FRAME).withColumn("block", F.floor(F.col("turn") / BLOCK)), "sizes")
     order = ("turn", "role", "text")
     rows = rows.withColumn("upto", F.sum("tok").over(W.partitionBy("conv_id", "block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
     blocks = rows.groupBy("conv_id", "block").agg(F.sum("tok").alias("all"))
@@ -146,7 +146,8 @@ def windows(
     blocks = blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("k"), before.alias("before"))
     rows = rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("k")))
     rows = rows.select("conv_id", *order, "tok", (F.col("before") + F.col("upto") - F.col("tok")).alias("start"))
-    rows = rows.withColumn("segment", F.floor(F.col("start") / span)).withColumn("first", F.col("start") == 0)
+    # Counted once, as the segments, their histories and system turns all read it.
+    rows = written(rows.withColumn("segment", F.floor(F.col("start") / span)).withColumn("first", F.col("start") == 0), "turns")
 
     segments = rows.groupBy("conv_id", "segment").agg(F.max(F.col("start") + F.col("tok")).alias("end"))
     following = F.lead("segment").over(W.partitionBy("conv_id").orderBy("segment"))
