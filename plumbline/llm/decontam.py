@@ -292,3 +292,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ("doc_id",))
     n = F.size("items").cast("bigint")
     return got.select("doc_id", "n_words", hit_words(F.col("spans")).alias("n_hit"), n.alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
+
+
+#: The same in DuckDB SQL.
+ORACLE = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws FROM benchmark),
+sized AS (SELECT item, ws, least({WINDOW}, len(ws)) AS n FROM b WHERE len(ws) > 0),
+item_windows AS (SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT item, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM sized)),
+doc_windows AS (SELECT r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM sized))),
+met AS (SELECT r, w.n, i, item FROM doc_windows w JOIN item_windows x ON w.n = x.n AND w.g = x.g),
+hits AS (SELECT r, count(DISTINCT p) AS hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM met) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item) AS items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM met GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN found USING (r)"""

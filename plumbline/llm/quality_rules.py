@@ -143,5 +143,25 @@ def repetition(
 
 
 def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns, then the method's shares."""
-    return repetition(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_share", "dup_ngram_shares")
+    got = repetition(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The same in DuckDB SQL.
+ORACLE = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+split AS (SELECT doc_id, r, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM d),
+words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split),
+sizes AS (SELECT r, sum(length(w)) AS chars FROM words GROUP BY r),
+grams AS (SELECT r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM split CROSS JOIN (SELECT unnest([3, 5, 6, 7, 8, 9, 10]) AS n))),
+counted AS (SELECT r, n, i, count(*) OVER (PARTITION BY r, n, g) AS k, row_number() OVER (PARTITION BY r, n, g ORDER BY i) AS nth FROM grams),
+marks AS (SELECT DISTINCT r, n, unnest(range(i, i + n)) AS i FROM counted WHERE CASE WHEN n = 3 THEN k > 1 ELSE nth > 1 END),
+shares AS (SELECT m.r, n, count(*) AS marked, sum(length(w)) / max(chars) AS share FROM marks m JOIN words w ON w.r = m.r AND w.i = m.i JOIN sizes s ON s.r = m.r GROUP BY m.r, n),
+lines AS (SELECT r, line, row_number() OVER (PARTITION BY r, line) AS nth FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+line_sums AS (SELECT r, count(*) FILTER (nth > 1) AS dup, coalesce(sum(length(line)) FILTER (nth > 1), 0) / sum(length(line)) AS share FROM lines GROUP BY r),
+limits AS (SELECT * FROM (VALUES {", ".join(f"({n}, {most})" for n, most in MAX_DUP_NGRAM_CHARS.items())}) v(n, most)),
+over AS (SELECT DISTINCT r FROM shares JOIN limits USING (n) WHERE share > most),
+rows AS (SELECT s.doc_id, s.r, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(three.marked, 0) AS BIGINT) AS n_repeat_words, coalesce(l.share, 0) AS line_share
+  FROM split s LEFT JOIN sizes z ON z.r = s.r LEFT JOIN line_sums l ON l.r = s.r LEFT JOIN shares three ON three.r = s.r AND three.n = 3)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND line_share <= {MAX_DUP_LINE_CHARS} AND r NOT IN (SELECT r FROM over) AS kept FROM rows"""

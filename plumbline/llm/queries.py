@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from plumbline.llm import decontam, quality_rules
 from plumbline.llm.bpe import op3_bpe
 from plumbline.llm.chat import op1_chat
 from plumbline.llm.decontam import op5_decontaminate
@@ -27,4 +28,4 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_lm": op10_lm,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_decontaminate": decontam.ORACLE, "op8_repetition": quality_rules.ORACLE}
