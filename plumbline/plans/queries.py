@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import document_key, lexical_overlap, normalize_sql, normalize_text, occurrences
+from plumbline.functions.text import document_key, lexical_overlap, normalize_sql, normalize_text, occurrences, rounded
 from plumbline.operators import aggregates, comparing, matching, retrieval, statistics
 from plumbline.plans import registry
 from plumbline.plans.derived import BUDGETS, PRIMARY_K, Exam, sql
+from plumbline.sources import backends
 
 SIX = "round({}, 6)"
 
@@ -376,23 +377,117 @@ def ground_truth(x: Exam) -> DataFrame:
     "lexical_overlap",
     f"""SELECT claim_id, CASE WHEN len(g) > 0 THEN {SIX.format('len(list_intersect(g, q)) / len(g)')} END AS overlap FROM (SELECT claim_id,
 list_distinct(list_transform(range(1, greatest(length(s), 1)), lambda i: substring(s, i, 2))) AS g, list_distinct(list_transform(range(1, greatest(length(p), 1)), lambda i: substring(p, i, 2))) AS q
-FROM (SELECT claim_id, {normalize_sql("span")} AS s, left({normalize_sql("passage")}, 60) AS p FROM claims JOIN passages USING (question_id)))""",
+FROM (SELECT c.claim_id, {normalize_sql("c.span")} AS s, {normalize_sql("f.span")} AS p FROM claims c JOIN claims f ON f.question_id = c.question_id AND f.claim_ord = 0))""",
 )
 def overlap(x: Exam) -> DataFrame:
-    got = x.claims.join(x.passages, "question_id")
-    question = F.left(normalize_text("passage"), F.lit(60))
-    return got.select("claim_id", F.round(lexical_overlap(question, normalize_text("span")), 6).alias("overlap"))
+    return _with_first(x).select("claim_id", F.round(lexical_overlap(normalize_text("first"), normalize_text("span")), 6).alias("overlap"))
 
 
-@query("errors_as_zero", f"SELECT run_id, count(*) AS questions, {SIX.format('avg(CASE WHEN question_id % 5 = 0 THEN 0.0 ELSE claim_recall END)')} AS macro_claim_recall FROM metrics WHERE k = {PRIMARY_K} GROUP BY 1")
+def _with_first(x: Exam) -> DataFrame:
+    """Claims beside their question's first sentence, which stands for the question's wording."""
+    first = x.claims.where("claim_ord = 0").select("question_id", F.col("span").alias("first"))
+    return x.claims.join(first, "question_id")
+
+
+#: A response of fewer than three chunks stands for a failed request.
+_FAILED = "(SELECT count(*) FROM chunks c WHERE c.run_id = {t}.run_id AND c.question_id = {t}.question_id) < 3"
+
+
+@query("errors_as_zero", f"SELECT run_id, count(*) AS questions, round(avg(CASE WHEN {_FAILED.format(t='metrics')} THEN 0.0 ELSE claim_recall END), 6) AS macro_claim_recall FROM metrics WHERE k = {PRIMARY_K} GROUP BY 1")
 def errors_zero(x: Exam) -> DataFrame:
-    """Macro recall when the requests of every fifth question have failed: these count as 0."""
-    ok = x.metrics.where((F.col("k") == PRIMARY_K) & (F.col("question_id") % 5 != 0)).select("run_id", "question_id", "claim_recall")
+    """Macro recall when short responses count as failed requests, and these as 0."""
+    ok = _results(x).where("status = 'ok'").select("run_id", "question_id", F.col("value").alias("claim_recall"))
     got = aggregates.errors_as_zero(x.asked, ok, "claim_recall").groupBy("run_id")
     return got.agg(F.count("*").alias("questions"), F.round(F.avg("claim_recall"), 6).alias("macro_claim_recall"))
 
 
-@query("status_counts", "SELECT run_id, status, count(*) AS n, round(sum(CASE WHEN status = 'ok' THEN count(*) ELSE 0 END) OVER (PARTITION BY run_id) / sum(count(*)) OVER (PARTITION BY run_id), 6) AS request_success_rate FROM (SELECT run_id, CASE WHEN question_id % 5 = 0 THEN 'request_error' ELSE 'ok' END AS status FROM asked) GROUP BY run_id, status")
+@query("status_counts", f"SELECT run_id, status, count(*) AS n, round(sum(CASE WHEN status = 'ok' THEN count(*) ELSE 0 END) OVER (PARTITION BY run_id) / sum(count(*)) OVER (PARTITION BY run_id), 6) AS request_success_rate FROM (SELECT run_id, CASE WHEN {_FAILED.format(t='asked')} THEN 'request_error' ELSE 'ok' END AS status FROM asked) GROUP BY run_id, status")
 def status_counts(x: Exam) -> DataFrame:
-    status = x.asked.withColumn("status", F.when(F.col("question_id") % 5 == 0, "request_error").otherwise("ok"))
-    return aggregates.statuses(status).select("run_id", "status", "n", six("request_success_rate"))
+    return aggregates.statuses(_results(x)).select("run_id", "status", "n", six("request_success_rate"))
+
+
+@query("claims_per_document", "SELECT document_key, count(*) AS claims, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM claims GROUP BY document_key")
+def claims_per_document(x: Exam) -> DataFrame:
+    per = x.claims.groupBy("document_key").agg(F.count("*").alias("claims"))
+    total = x.claims.agg(F.count("*").alias("all"))
+    return per.crossJoin(F.broadcast(total)).select("document_key", "claims", F.round(F.col("claims") / F.col("all"), 6).alias("share"))  # total is one row
+
+
+def _results(x: Exam) -> DataFrame:
+    """Results in which responses of fewer than three chunks count as failed."""
+    n = x.chunks.groupBy("run_id", "question_id").agg(F.count("*").alias("n"))
+    at = x.metrics.where(F.col("k") == PRIMARY_K).select("run_id", "question_id", F.col("claim_recall").alias("value"))
+    return at.join(n, ["run_id", "question_id"], "left").withColumn("status", F.when(F.coalesce("n", F.lit(0)) < 3, "request_error").otherwise("ok")).drop("n")
+
+
+_SHORT = "(SELECT question_id FROM asked WHERE " + _FAILED.format(t="asked") + ")"
+
+
+@query("paired_questions", f"SELECT run_id, question_id, {SIX.format('claim_recall')} AS value FROM metrics WHERE k = {PRIMARY_K} AND question_id NOT IN {_SHORT}")
+def paired_questions(x: Exam) -> DataFrame:
+    return comparing.paired(_results(x)).select("run_id", "question_id", six("value"))
+
+
+@query("excluded_questions", f"SELECT DISTINCT question_id FROM {_SHORT}")
+def excluded_questions(x: Exam) -> DataFrame:
+    return comparing.excluded(_results(x))
+
+
+@query("response_parse", "SELECT run_id, CAST(question_id AS VARCHAR) AS question_id, rank, score, CAST(document_key AS VARCHAR) AS document_key, document_key || ':' || chunk_no AS chunk_id, length(content) AS n_chars FROM ranked JOIN windows USING (document_key, chunk_no)")
+def response_parse(x: Exam) -> DataFrame:
+    """Runs' chunks as responses of the segments' family, taken apart again by its profile."""
+    profile = backends.load_profile("segments-api")
+    rows = x.chunks.select("run_id", "question_id", "rank", "score", "document_key", "chunk_id").withColumn("chunk_no", F.split_part("chunk_id", F.lit(":"), F.lit(2)).cast("int"))
+    rows = rows.join(x.windows, ["document_key", "chunk_no"])
+    record = F.struct("score", F.struct(F.col("chunk_id").alias("id"), "content", F.struct(F.concat(F.lit("kb/"), "document_key", F.lit(".md")).alias("name")).alias("document")).alias("segment"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", record.alias("r")))), lambda i: i["r"])
+    bodies = rows.groupBy("run_id", "question_id").agg(F.to_json(F.struct(listed.alias("records"))).alias("body"))
+    got = backends.parsed(bodies.withColumn("question_id", F.col("question_id").cast("string")), profile)
+    return got.select("run_id", "question_id", F.col("rank").cast("bigint").alias("rank"), "score", "document_key", "chunk_id", F.length("content").cast("bigint").alias("n_chars"))
+
+
+@query("alias_rewrite", "SELECT DISTINCT run_id, CASE WHEN lang = 'es' THEN 'renamed-' || document_key ELSE CAST(document_key AS VARCHAR) END AS document_key FROM chunks JOIN docs USING (document_key)")
+def alias_rewrite(x: Exam) -> DataFrame:
+    """The documents of one language under other names."""
+    named = x.chunks.select("run_id", F.concat("document_key", F.lit(".md")).alias("document_name"), F.col("document_key").cast("string").alias("document_key"))
+    aliases = x.docs.where("lang = 'es'").select(F.concat("document_key", F.lit(".md")).alias("document_name"), F.concat(F.lit("x/Renamed-"), "document_key", F.lit(".txt")).alias("to_name"))
+    return matching.aliased(named, aliases).select("run_id", "document_key").distinct()
+
+
+@query("order_hash", "SELECT run_id, sha256(string_agg(CAST(question_id AS VARCHAR), chr(10) ORDER BY question_id)) AS order_hash FROM asked GROUP BY run_id")
+def order_hash(x: Exam) -> DataFrame:
+    return comparing.same_order(x.asked.withColumn("ord", F.col("question_id")))
+
+
+@query(
+    "low_overlap_violations",
+    f"""SELECT claim_id FROM (SELECT claim_id, list_distinct(list_transform(range(1, greatest(length(s), 1)), lambda i: substring(s, i, 2))) AS g, list_distinct(list_transform(range(1, greatest(length(p), 1)), lambda i: substring(p, i, 2))) AS q
+FROM (SELECT c.claim_id, {normalize_sql("c.span")} AS s, {normalize_sql("f.span")} AS p FROM claims c JOIN claims f ON f.question_id = c.question_id AND f.claim_ord = 0)) WHERE len(g) > 0 AND len(list_intersect(g, q)) / len(g) > 0.5""",
+)
+def low_overlap(x: Exam) -> DataFrame:
+    return _with_first(x).where(lexical_overlap(normalize_text("first"), normalize_text("span")) > 0.5).select("claim_id")
+
+
+@query(
+    "span_separation",
+    "SELECT claim_id, gap FROM (SELECT claim_id, instr(d.text, span) - lag(instr(d.text, span)) OVER (PARTITION BY question_id ORDER BY instr(d.text, span), claim_id) AS gap FROM claims JOIN docs d USING (document_key)) WHERE gap < 300",
+)
+def span_separation(x: Exam) -> DataFrame:
+    """Claims whose span begins fewer than 300 characters after the one before it in its document."""
+    at = x.claims.join(x.docs.select("document_key", "text"), "document_key").withColumn("begin", F.instr("text", F.col("span")))
+    before = F.lag("begin").over(W.partitionBy("question_id").orderBy("begin", "claim_id"))
+    return at.select("claim_id", (F.col("begin") - before).cast("bigint").alias("gap")).where("gap < 300")
+
+
+@query("report_rounding", f"SELECT run_id, {SIX.format('avg(round(claim_recall, 4))')} AS macro_claim_recall FROM metrics WHERE k = {PRIMARY_K} GROUP BY run_id")
+def report_rounding(x: Exam) -> DataFrame:
+    """The macro recall of reports: every question's value is rounded before the mean."""
+    at = x.metrics.where(F.col("k") == PRIMARY_K)
+    return at.groupBy("run_id").agg(F.round(F.avg(rounded(F.col("claim_recall"))), 6).alias("macro_claim_recall"))
+
+
+@query("comparison", _with(_FLIP + """, adjusted AS (SELECT *, round(least(1.0, max((m - i + 1) * p) OVER (PARTITION BY metric ORDER BY i ROWS UNBOUNDED PRECEDING)), 6) AS holm FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY p, left_run, right_run) AS i, count(*) OVER (PARTITION BY metric) AS m FROM ps))
+SELECT metric, left_run, right_run, round(delta, 6) AS delta, round(p, 6) AS p, holm FROM adjusted""").replace("\n,\nsums", ",\nsums"))
+def comparison(x: Exam) -> DataFrame:
+    got = comparing.compared(_values(x), SAMPLES, 3)
+    return got.select("metric", "left_run", "right_run", six("delta"), six("p"), six("holm"))

@@ -55,27 +55,32 @@ class Profile:
     extra: dict = field(default_factory=dict)
 
 
-#: Fields of the two families of products, from which built-in profiles are made.
+#: The record fields of the two response families, from which the built-in profiles are made.
 SEGMENTS = {"document_name": "segment.document.name", "document_id": "segment.document_id", "chunk_id": "segment.id", "content": "segment.content", "relevance_score": "score"}
 FLAT = {"document_name": "documentName", "document_id": "documentId", "chunk_id": "chunkId", "content": "content", "relevance_score": "relevanceScore", "server_top": "top"}
+#: A folder of further profiles, found by name as <name>.json.
+PROFILE_DIR = "RETRIEVAL_PROFILE_DIR"
 
 
 def _builtin() -> dict[str, dict]:
     model = {"search_method": "hybrid_search", "reranking_enable": False, "top_k": "{top_k}", "score_threshold_enabled": False, "score_threshold": None}
-    dataset = {"url_template": "{base_url}/datasets/{dataset_id}/retrieve", "request_template": {"query": "{query}", "retrieval_model": model}, "records_path": "records", "field_map": SEGMENTS}
-    console = {"url_template": "{base_url}/datasets/{dataset_id}/hit-testing", "request_template": {"query": "{query}", "retrieval_model": model}, "records_path": "records", "field_map": SEGMENTS, "auth": "cookie"}
+    shape = {"request_template": {"query": "{query}", "retrieval_model": model}, "records_path": "records", "field_map": SEGMENTS}
+    dataset = shape | {"url_template": "{base_url}/datasets/{dataset_id}/retrieve", "auth": "bearer"}
+    console = shape | {"url_template": "{base_url}/datasets/{dataset_id}/hit-testing", "auth": "cookie"}
     flat = {"url_template": "{base_url}/retrieval/{dataset_id}", "request_template": {"query": "{query}", "datasetId": "{dataset_id}"}, "records_path": "content", "field_map": FLAT, "auth": "cookie", "success_path": "success", "message_path": "responseMessage", "supports_top_k": False}
-    return {"dify-dataset-api": dataset | {"auth": "bearer"}, "dify-console": console, "dify-hybrid-parentchild": dataset | {"auth": "bearer"}, "arag": flat}
+    return {"segments-api": dataset, "segments-console": console, "segments-parentchild": dataset, "flat-content": flat}
 
 
 def load_profile(name_or_path: str) -> Profile:
-    """A built-in profile by name, or one from a JSON file; its hash is kept."""
+    """A built-in profile by name, one of the folder in RETRIEVAL_PROFILE_DIR, or one from a JSON file; its hash is kept."""
     known = _builtin()
+    own = os.path.join(os.environ.get(PROFILE_DIR, ""), f"{name_or_path}.json")
+    path = next((x for x in (name_or_path, own) if os.path.isfile(x)), None)
     if name_or_path in known:
         raw = json.dumps(known[name_or_path], sort_keys=True).encode()
         data = known[name_or_path] | {"name": name_or_path}
-    elif os.path.isfile(name_or_path):
-        with open(name_or_path, "rb") as f:
+    elif path:
+        with open(path, "rb") as f:
             raw = f.read()
         data = json.loads(raw)
     else:
