@@ -218,14 +218,15 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[li
         yield block
 
 
-def matched(docs: DataFrame, items: DataFrame, keep: tuple[str, ...], text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """keep, with n_words, spans (of hit words, from and to), chars (the same in code points) and items (ids, sorted) for each document."""
+def matched(docs: DataFrame, items: DataFrame, keep: tuple[str, ...], text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
+    """keep, with n_words, spans (of hit words, from and to), chars (the same in code points) and items (ids, sorted) for each document; prefix goes before these names."""
     spark = docs.sparkSession
     ship(spark)
     given = [*keep] if text in keep else [*keep, text]
     at, n = given.index(text), len(given)
     span = "array<struct<a:int,b:int>>"
-    df = docs.select(*given, F.lit(None).cast("bigint").alias("n_words"), F.array().cast(span).alias("spans"), F.array().cast(span).alias("chars"), F.array().cast("array<string>").alias("items"))
+    made = [f"{prefix}{c}" for c in ("n_words", "spans", "chars", "items")]
+    df = docs.select(*given, *(c.alias(name) for c, name in zip((F.lit(None).cast("bigint"), F.array().cast(span), F.array().cast(span), F.array().cast("array<string>")), made, strict=True)))
     target = to_arrow_schema(df.schema)
     blocks = (spark.sparkContext.broadcast((uuid.uuid4().hex, b)) for b in item_blocks(items, block_bytes))
     for block in [*blocks] or [spark.sparkContext.broadcast((uuid.uuid4().hex, []))]:
@@ -239,11 +240,11 @@ def matched(docs: DataFrame, items: DataFrame, keep: tuple[str, ...], text: str
                     got, ks = auto.match(words)
                     spans = merged(old or [], got)
                     rows.append((len(words), spans, _chars(t, spans), sorted([*(seen or ()), *(auto.ids[k] for k in ks)])))
-                made = [pa.array([r[j] for r in rows], target.field(n + j).type) for j in range(4)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], schema=target)
+                columns = [pa.array([r[j] for r in rows], target.field(n + j).type) for j in range(4)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *columns], schema=target)
 
         df = df.mapInArrow(work, df.schema)
-    return df.select(*keep, "n_words", "spans", "chars", "items")
+    return df.select(*keep, *made)
 
 
 def _chars(text: str | None, spans: list[dict]) -> list[dict]:
@@ -275,17 +276,17 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_
     hit; from the others the hit spans are cut out of the text, so that no window of an item stays.
     """
     names = tuple(docs.columns)
-    got = matched(docs.select(*names), items, names, window=window)
-    share = hit_words(F.col("spans")) > F.col("n_words") * max_share
-    long = F.exists("spans", lambda s: s["b"] - s["a"] > max_span)
+    got = matched(docs.select(*names), items, names, window=window, prefix="__")
+    share = hit_words(F.col("__spans")) > F.col("__n_words") * max_share
+    long = F.exists("__spans", lambda s: s["b"] - s["a"] > max_span)
     cut = F.aggregate(
-        "chars",
+        "__chars",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda x, s: F.struct(s["b"].alias("at"), F.concat(x["out"], F.substr(F.col("text"), x["at"] + 1, s["a"] - x["at"])).alias("out")),
         lambda x: F.concat(x["out"], F.substr(F.col("text"), x["at"] + 1)),
     )
     kept = got.where(~(share | long))
-    return kept.withColumn("text", F.when(F.size("chars") > 0, cut).otherwise(F.col("text"))).select(*names)
+    return kept.withColumn("text", F.when(F.size("__chars") > 0, cut).otherwise(F.col("text"))).select(*names)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

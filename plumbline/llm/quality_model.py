@@ -149,14 +149,14 @@ def train(docs: DataFrame, ratings: DataFrame, top: int, fit_rows: int = FIT_ROW
     return fit(rows, np.array(grades, dtype=np.int64), top)
 
 
-def scored(docs: DataFrame, model: Ordinal, keep: tuple[str, ...] = ("doc_id",), text: str = "text", min_tail: float = MIN_TAIL) -> DataFrame:
-    """keep, expected_grade, tail (of the highest grade), tails and kept for each document."""
+def scored(docs: DataFrame, model: Ordinal, keep: tuple[str, ...] = ("doc_id",), text: str = "text", min_tail: float = MIN_TAIL, prefix: str = "") -> DataFrame:
+    """keep, expected_grade, tail (of the highest grade), tails and kept for each document; prefix goes before these names."""
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
     given = docs.select(*(keep if text in keep else (*keep, text)))
     at = given.columns.index(text)
-    whole = StructType([*(given.schema[k] for k in keep), *StructType.fromDDL("expected_grade double, tail double, tails array<double>, kept boolean")])
+    whole = StructType([*(given.schema[k] for k in keep), *StructType.fromDDL(f"{prefix}expected_grade double, {prefix}tail double, {prefix}tails array<double>, {prefix}kept boolean")])
     target = to_arrow_schema(whole)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def graded() -> Column:
 def selected(docs: DataFrame, ratings: DataFrame, top: int = 2, min_tail: float = MIN_TAIL) -> DataFrame:
     """docs without those that the model rejects; its columns are those of docs."""
     names = tuple(docs.columns)
-    return scored(docs.select(*names), train(docs, ratings, top), names, min_tail=min_tail).where("kept").select(*names)
+    return scored(docs.select(*names), train(docs, ratings, top), names, min_tail=min_tail, prefix="__").where("__kept").select(*names)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
