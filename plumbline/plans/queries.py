@@ -325,9 +325,9 @@ def _tail(text: str) -> str:
     return text.lstrip("\n")
 
 
-@query("bm25_topk", _tail(_BM25) + "SELECT question_id, document_key, chunk_no, round(score, 4) AS score, rank FROM best")
+@query("bm25_topk", _tail(_BM25) + "SELECT question_id, document_key, chunk_no, score, rank FROM best")
 def bm25(x: Exam) -> DataFrame:
-    return _bm25(x).select("question_id", "document_key", "chunk_no", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return _bm25(x).select("question_id", "document_key", "chunk_no", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(
