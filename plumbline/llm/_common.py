@@ -44,13 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path  # for forget()
+    return out
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Removes what written() returned, once nothing reads it any more."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _remove(spark, path)
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that written() returned, once nothing reads them any more."""
+    for df in tables:
+        if path := df.__dict__.get("_written_at"):
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

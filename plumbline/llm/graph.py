@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import written
+from plumbline.llm._common import forget, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,13 +20,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     roots = written(nodes.withColumn("root", F.col("node")), "roots")
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        hook = written(both.groupBy(F.col("a").alias("x")).agg(F.least(F.min("b"), F.first("a")).alias("y")), "hooks")
+        first = written(both.groupBy(F.col("a").alias("x")).agg(F.least(F.min("b"), F.first("a")).alias("y")), "hooks")
+        hook = first
         for _ in range(2):
             nxt = hook.select(F.col("x").alias("y"), F.col("y").alias("z"))
             hook = hook.join(nxt, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
         hook = written(hook, "hooks")
-        roots = written(roots.join(hook.withColumnRenamed("x", "root"), "root", "left").select("node", F.coalesce("y", "root").alias("root")), "roots")
+        moved_roots = written(roots.join(hook.withColumnRenamed("x", "root"), "root", "left").select("node", F.coalesce("y", "root").alias("root")), "roots")
         of_a, of_b = hook.select(F.col("x").alias("a"), F.col("y").alias("u")), hook.select(F.col("x").alias("b"), F.col("y").alias("v"))
         moved = left.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("u", "a").alias("u"), F.coalesce("v", "b").alias("v"))
-        left = written(moved.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges")
+        rest = written(moved.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges")
+        forget(left, first, hook, roots)
+        left, roots = rest, moved_roots
     return roots

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import table, text_of, written
+from plumbline.llm._common import forget, table, text_of, written
 
 SHARDS = 24
 ROUNDS = 6
@@ -86,7 +86,8 @@ def settled(units: DataFrame, rooms: list[int], rounds: int = ROUNDS) -> tuple[D
         got = written(wish.join(F.broadcast(cut), "shard").where("step <= last").select("key", "part", "shard", "w"), "settled")
         done = got if done is None else done.unionByName(got)
         left = [r - taken.get(s, 0) for s, r in enumerate(left)]
-        open_units = written(open_units.join(got, ["key", "part"], "left_anti"), "open")
+        old, open_units = open_units, written(open_units.join(got, ["key", "part"], "left_anti"), "open")
+        forget(wish, cut, old)
         if open_units.isEmpty():
             break
     if done is None:
