@@ -22,14 +22,27 @@ def terms(text: Column, least: int = 1) -> Column:
     return F.filter(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda t: F.length(t) >= least)
 
 
-def overlap_ranking(chunks: DataFrame, questions: DataFrame, top: int = 10, least: int = 6, min_score: int = 1) -> DataFrame:
-    """question_id, document_key, chunk_no, score and rank: the chunks that share most distinct terms with a question."""
+def overlap_scores(chunks: DataFrame, questions: DataFrame, leasts: dict[str, int]) -> DataFrame:
+    """question_id, document_key, chunk_no and a score for each name of leasts: the distinct terms of that length or more that a chunk shares with a question. One pass over the chunks serves all scores."""
+    least = min(leasts.values())
     asked = questions.select("question_id", F.explode(F.array_distinct(terms(F.col("question"), least))).alias("term"))
     postings = chunks.select("document_key", "chunk_no", F.explode(F.array_distinct(terms(F.col("content"), least))).alias("term"))
-    scores = postings.join(asked, "term").groupBy("question_id", "document_key", "chunk_no").agg(F.count("*").cast("double").alias("score"))
+    scores = [F.count_if(F.length("term") >= n).cast("double").alias(name) for name, n in leasts.items()]
+    return postings.join(asked, "term").groupBy("question_id", "document_key", "chunk_no").agg(*scores)
+
+
+def overlap_ranking(chunks: DataFrame, questions: DataFrame, top: int = 10, least: int = 6, min_score: int = 1) -> DataFrame:
+    """question_id, document_key, chunk_no, score and rank: the chunks that share most distinct terms with a question."""
+    scores = overlap_scores(chunks, questions, {"score": least})
     return ranked(scores.where(F.col("score") >= min_score), top)
 
 
+def with_content(found: DataFrame, docs: DataFrame, window: int = 200, overlap: int = 50) -> DataFrame:
+    """found (document_key, chunk_no) with its chunk's content, cut from the document again: cheaper than to keep all windows."""
+    got = found.join(docs.select("document_key", "text"), "document_key")
+    return got.withColumn("content", F.substr(F.col("text"), F.col("chunk_no") * (window - overlap) + 1, F.lit(window))).drop("text")
+
+
 def ranked(scores: DataFrame, top: int) -> DataFrame:
     order = W.partitionBy("question_id").orderBy(F.desc("score"), "document_key", "chunk_no")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
