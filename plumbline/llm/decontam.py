@@ -11,7 +11,7 @@ pass over the documents for each block in the same stage; so the size of a broad
 however many items there are.
 
 Cases: null and empty texts have no words; items without words never match; equal items are all
-reported; null item ids are reported as an empty string; an empty table of items hits nothing.
+reported, rows of one id once; null item ids are reported as an empty string; an empty table of items hits nothing.
 """
 
 from __future__ import annotations
@@ -239,7 +239,7 @@ def matched(docs: DataFrame, items: DataFrame, keep: tuple[str, ...], text: str
                     words = words_of(t)
                     got, ks = auto.match(words)
                     spans = merged(old or [], got)
-                    rows.append((len(words), spans, _chars(t, spans), sorted([*(seen or ()), *(auto.ids[k] for k in ks)])))
+                    rows.append((len(words), spans, _chars(t, spans), sorted({*(seen or ()), *(auto.ids[k] for k in ks)})))
                 columns = [pa.array([r[j] for r in rows], target.field(n + j).type) for j in range(4)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *columns], schema=target)
 

@@ -71,7 +71,7 @@ def test_automaton_against_brute_force():
 
 def test_decontamination(spark):
     item = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen"
-    items = spark.createDataFrame([(1, item), (2, "short item"), (3, None), (4, ""), (5, item)], "item_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "short item"), (3, None), (4, ""), (5, item), (5, item)], "item_id long, text string")
     long = "pre " * 300
     texts = [f"{long}{item.upper()}! end", f"{long}one-two_three four five six seven eight nine; {long}", "a SHORT, item.", "short thing item", None, ""]
     got = {r.doc_id: r for r in decontam.matched(spark.createDataFrame(list(enumerate(texts)), DOC), items, ("doc_id",)).collect()}
