@@ -15,7 +15,8 @@ these, those of the cell's largest component needn't be compared with each other
 different components are found, and no cell is expanded into all its pairs.
 
 Apart from these links, deduplicated() finds near copies for the pipeline: texts of which about 0.8 or
-more of the five-word shingles agree. It uses the same grid over fingerprints of words.
+more of the five-word shingles agree. Its candidates share a rare shingle (a prefix filter), which no
+kind of edit avoids.
 
 Cases: a null text is empty; a text without words has fingerprint zero, and so links like any other;
 equal rows share a component; a null doc_id never is a component's id unless all its ids are null.
@@ -142,76 +143,119 @@ def grouped(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "t
     return own.join(classes, "fp").select(*keep, "fp", "component_id")
 
 
-#: The near-copy search: words of a shingle, bits of the grid's radius, and differing bits of 256 up to
-#: which two texts count as similar. A similarity of 0.8 of their sets of shingles gives 39 on average,
-#: with a deviation of 6.
-COPY_WORDS, COPY_RADIUS, COPY_BITS = 5, 5, 48
-_GRIDS, _SIGNS = ("g0", "g1"), ("s0", "s1", "s2", "s3")
+#: The near-copy search: words of a shingle, the similarity of copies as a fraction (Jaccard of their
+#: sets of shingles), and differing bits of 256 up to which two texts count as similar.
+COPY_WORDS, COPY_LIKE, COPY_BITS = 5, (4, 5), 48
+#: Texts whose shingles are counted to tell common ones, the count that makes one common, and how many of them are held.
+SAMPLE, COMMON, HELD = 8192, 3, 65_536
+_SIGNS = ("s0", "s1", "s2", "s3")
 
 
-def _majority(digests: list[bytes], weights: np.ndarray, bits: int) -> np.ndarray:
-    """Signed 64-bit parts of the weighted SimHash of digests."""
-    total = np.zeros(bits)
-    for k in range(0, len(digests), CHUNK):
-        part = np.frombuffer(b"".join(digests[k : k + CHUNK]), dtype=np.uint8)
-        total += weights[k : k + CHUNK] @ np.unpackbits(part, bitorder="little").reshape(-1, bits)
-    return np.packbits(total * 2 > weights.sum(), bitorder="little").view(np.int64)
+def _parts(text: str | None, shingle: int) -> set[bytes]:
+    """The distinct shingles of a text; one without words has the empty one."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
 
 
-def copy_prints(text: str | None, shingle: int = COPY_WORDS) -> list[int]:
-    """Two fingerprints of a text's distinct words, weighted by length, and a 256-bit one of its shingles in four parts."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return [0] * 6
-    digest = xxhash.xxh3_128_digest
-    distinct = list(set(words))
-    grids = _majority([digest(w) for w in distinct], np.fromiter(map(len, distinct), dtype=np.float32, count=len(distinct)), 128)
-    parts = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-    signs = _majority([digest(p, 1) + digest(p, 2) for p in parts], np.ones(len(parts), dtype=np.float32), 256)
-    return [*grids.tolist(), *signs.tolist()]
-
-
-def copies(texts: DataFrame, radius: int = COPY_RADIUS, most: int = COPY_BITS) -> DataFrame:
-    """(node, root) of similar texts. texts: node, g0, g1, s0 to s3, a row for each different text.
-
-    Words change less than shingles when a text is edited, so similar texts are near in a grid of
-    words. In each cell of either grid, every text is compared with four pivots, the extremes by
-    fingerprint and by node; a link between two other texts is found in another of the dozens of
-    cells that they share, or through their links to a pivot. No cell is expanded into its pairs.
+def shingles(text: str | None, shingle: int = COPY_WORDS) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's distinct shingles."""
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, _parts(text, shingle)), dtype=np.uint64).view(np.int64))
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, like: tuple[int, int] = COPY_LIKE) -> np.ndarray:
+    """The first hashes in the order of all texts, by count and hash: so many that two sets as similar as `like` share one of them."""
+    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
+    known = np.where(common[at] == hashes, counts[at], 0) if len(common) else np.zeros(len(hashes), dtype=np.int64)
+    return hashes[np.lexsort((hashes, known))][: len(hashes) - -(-len(hashes) * like[0] // like[1]) + 1]
+
+
+def signs(text: str | None, shingle: int = COPY_WORDS) -> list[int]:
+    """The 256-bit SimHash of a text's distinct shingles in four parts."""
+    digest, parts = xxhash.xxh3_128_digest, list(_parts(text, shingle))
+    total = np.zeros(256, dtype=np.int64)
+    for k in range(0, len(parts), CHUNK):
+        drawn = b"".join(digest(p, 1) + digest(p, 2) for p in parts[k : k + CHUNK])
+        total += np.unpackbits(np.frombuffer(drawn, dtype=np.uint8), bitorder="little").reshape(-1, 256).sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(parts), bitorder="little").view(np.int64).tolist()
+
+
+def common_shingles(docs: DataFrame, shingle: int = COPY_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of shingles that several of about SAMPLE texts hold. They only decide the order in prefix(): any order is right, and this one keeps common shingles out of the prefixes."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(max(1, n))) < SAMPLE).select("text").distinct()
+    target = pa.schema([("h", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, shingle))], schema=target)
+
+    held = some.mapInArrow(work, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    got = held.orderBy(F.desc("n"), "h").limit(HELD).toArrow()
+    h, n = got["h"].to_numpy().astype(np.int64), got["n"].to_numpy().astype(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _may(x: Column, y: Column, like: tuple[int, int]) -> Column:
+    """Whether two sets (structs with n and at, the place of the hash that they share) can be similar if it is the first one shared, as it is in some cell of every similar pair."""
+    return F.least(x["n"] - x["at"], y["n"] - y["at"]) * sum(like) >= (x["n"] + y["n"]) * like[0]
+
+
+def _pairs(met: DataFrame, x: Column, y: Column, like: tuple[int, int]) -> DataFrame:
+    """Distinct (a, b), b < a, of the nodes of x and y that can be similar."""
+    near = met.where((x["node"] != y["node"]) & _may(x, y, like))
+    return near.select(F.greatest(x["node"], y["node"]).alias("a"), F.least(x["node"], y["node"]).alias("b")).distinct()
+
+
+def cells_of(texts: DataFrame) -> DataFrame:
+    """cell and x (node, n, at) for each hash in the prefixes of several texts, and pivots. texts: node, n, prefix.
+
+    Pivots are the least node of a cell, and the one that shares most hashes in all: the middle of a
+    group rather than its border.
+    """
+    each = texts.select("node", "n", F.posexplode("prefix").alias("at", "cell"))
+    shared = written(each.selectExpr("*", "count(*) over (partition by cell) as held").where("held > 1").drop("held"), "shared")
+    marked = shared.join(shared.groupBy("node").agg(F.count("*").alias("degree")), "node").withColumn("x", F.struct("node", "n", "at"))
+    return written(marked.selectExpr("cell", "x", "min(x) over (partition by cell) as p0", "max(struct(degree, x)) over (partition by cell).x as p1"), "met")
+
+
+def copies(texts: DataFrame, most: int = COPY_BITS, like: tuple[int, int] = COPY_LIKE) -> DataFrame:
+    """(node, root) of similar texts. texts: node, n, prefix and s0 to s3, a row for each different text.
+
+    Similar texts share a hash of their prefixes, whatever the edit. In each cell, every text is
+    compared with two pivots; a link between two other texts is found in another of the cells that
+    they share, or through their links to a pivot. No cell is expanded into its pairs.
     """
-    def of(g: str, k: int) -> Column:
-        return F.transform(cells(F.col(g), radius), lambda c: F.struct(F.col(g).alias("g"), c.bitwiseOR(F.lit(k << 56)).alias("cell")))
-
-    each = [of(g, k) for k, g in enumerate(_GRIDS)]
-    met = texts.select("node", F.explode(F.concat(*each)).alias("x")).select("node", "x.g", "x.cell")
-    ends = [f"{f}(struct({a}, {b})) over (partition by cell) as p{i}" for i, (f, a, b) in enumerate((f, *o) for f in ("min", "max") for o in (("g", "node"), ("node", "g")))]
-    met = met.selectExpr("node", "g", *ends)
-    pivots = F.explode(F.array(*(F.struct(F.col(f"p{i}.node").alias("node"), F.col(f"p{i}.g").alias("g")) for i in range(4)))).alias("p")
-    pairs = met.select("node", "g", pivots).where((F.col("node") != F.col("p.node")) & (differing(F.col("g"), F.col("p.g")) <= radius))
-    pairs = written(pairs.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")).distinct(), "pairs")
+    met = cells_of(texts)
+    pairs = written(_pairs(met, F.col("x"), F.col("p0"), like).union(_pairs(met, F.col("x"), F.col("p1"), like)).distinct(), "pairs")
     side = lambda n: texts.select(F.col("node").alias(n), F.struct(*_SIGNS).alias(f"s{n}"))
     bits = sum((differing(F.col(f"sa.{c}"), F.col(f"sb.{c}")) for c in _SIGNS), F.lit(0))
     return components(pairs.join(side("a"), "a").join(side("b"), "b").where(bits <= most).select("a", "b"))
 
 
-def deduplicated(docs: DataFrame, shingle: int = COPY_WORDS, radius: int = COPY_RADIUS, most: int = COPY_BITS) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = COPY_WORDS, most: int = COPY_BITS, like: tuple[int, int] = COPY_LIKE) -> DataFrame:
     """docs with one document of each group of equal or similar texts: the one with the least doc_id, null last (of rows that share it, one with the least hash of its text). Its columns are those of docs."""
     ship(docs.sparkSession)
     names = docs.columns
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
     marked = docs.withColumn("__hash", F.xxhash64("text"))
     given = marked.select("doc_id", "__hash", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("__key"), "text")
-    whole = StructType([*given.schema.fields[:3], *(StructField(c, LongType()) for c in (*_GRIDS, *_SIGNS))])
+    whole = StructType([*given.schema.fields[:3], *(StructField(c, LongType()) for c in _SIGNS), *StructType.fromDDL("n int, prefix array<bigint>")])
     target = to_arrow_schema(whole)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([copy_prints(t, shingle) for t in b.column(3).to_pylist()], dtype=np.int64).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(prints[:, i]) for i in range(6))], schema=target)
+            texts = b.column(3).to_pylist()
+            bits = np.array([signs(t, shingle) for t in texts], dtype=np.int64).reshape(-1, 4)
+            sets = [shingles(t, shingle) for t in texts]
+            more = pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s, *common.value, like) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*b.columns[:3], *map(pa.array, bits.T), *more], target, strict=True)], schema=target)
 
     own = written(given.mapInArrow(work, whole), "prints")
-    texts = own.groupBy("__key").agg(*(F.min(c).alias(c) for c in (*_GRIDS, *_SIGNS)))
+    texts = own.groupBy("__key").agg(*(F.first(c).alias(c) for c in (*_SIGNS, "n", "prefix")))
     texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
-    roots = copies(texts, radius, most)
+    roots = copies(texts, most, like)
     classes = written(texts.select("__key", "node").join(roots, "node", "left").select("__key", F.coalesce("root", "node").alias("root")), "classes")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__hash")
     best = own.select("doc_id", "__hash", "__key").join(classes, "__key").groupBy("root").agg(F.min(order).alias("best"))

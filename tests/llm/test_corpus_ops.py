@@ -188,6 +188,44 @@ def test_components_of_documents(spark):
     assert simhash.deduplicated(again.limit(0)).count() == 0
 
 
+def jaccard(a, b, k=5):
+    x, y = (({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}) for w in ((t or "").lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def edited(rnd, base, other, kind, share):
+    """base with a share of another text appended, with its end cut off, or with words put for others."""
+    n = len(base)
+    if kind == "append":
+        return base + other[: round(n * share)]
+    if kind == "cut":
+        return base[: n - round(n * share)]
+    return [rnd.choice(other) if rnd.random() < share / 5 else w for w in base]
+
+
+def copies_of(seed, n, shares):
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    draw = lambda size: [rnd.choice(words) for _ in range(size)]
+    out = []
+    for _ in range(n):
+        base = draw(rnd.randint(5, 300))
+        kind = rnd.choice(["append", "cut", "substitute"])
+        out.append((kind, " ".join(base), " ".join(edited(rnd, base, draw(400), kind, rnd.uniform(*shares)))))
+    return out
+
+
+def test_near_copies_of_all_edits_meet(spark):
+    pairs = [p for p in copies_of(20, 400, (0.05, 0.25)) if p[1] != p[2] and jaccard(*p[1:]) >= 0.8]
+    assert min(Counter(k for k, _, _ in pairs).values()) >= 30
+    none = np.zeros(0, dtype=np.int64)
+    sets = [simhash.shingles(t) for p in pairs for t in p[1:]]
+    rows = [(i, len(s), simhash.prefix(s, none, none).tolist()) for i, s in enumerate(sets)]
+    met = simhash.cells_of(spark.createDataFrame(rows, "node long, n int, prefix array<long>"))
+    got = {(r.a, r.b) for r in simhash._pairs(met, F.col("x"), F.col("p0"), (4, 5)).collect()}
+    assert got >= {(2 * i + 1, 2 * i) for i in range(len(pairs))}
+
+
 def test_graph_components(spark):
     rnd = random.Random(10)
     pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(60)] + [(600, 700 + i) for i in range(50)]
