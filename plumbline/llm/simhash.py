@@ -220,45 +220,70 @@ def cells_of(texts: DataFrame) -> DataFrame:
     return written(marked.selectExpr("cell", "x", "min(x) over (partition by cell) as p0", "max(struct(degree, x)) over (partition by cell).x as p1"), "met")
 
 
+def alike(pairs: DataFrame, texts: DataFrame, most: int = COPY_BITS) -> DataFrame:
+    """The pairs (a, b) of similar texts."""
+    side = lambda n: texts.select(F.col("node").alias(n), F.struct(*_SIGNS).alias(f"s{n}"))
+    bits = sum((differing(F.col(f"sa.{c}"), F.col(f"sb.{c}")) for c in _SIGNS), F.lit(0))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(bits <= most).select("a", "b")
+
+
 def copies(texts: DataFrame, most: int = COPY_BITS, like: tuple[int, int] = COPY_LIKE) -> DataFrame:
     """(node, root) of similar texts. texts: node, n, prefix and s0 to s3, a row for each different text.
 
-    Similar texts share a hash of their prefixes, whatever the edit. In each cell, every text is
-    compared with two pivots; a link between two other texts is found in another of the cells that
-    they share, or through their links to a pivot. No cell is expanded into its pairs.
+    Similar texts share a hash of their prefixes, whatever the edit. First every text is compared
+    with the pivots of its cells, and components are formed; then texts of different components that
+    share a cell are compared, but for those of the cell's largest component with each other.
     """
     met = cells_of(texts)
-    pairs = written(_pairs(met, F.col("x"), F.col("p0"), like).union(_pairs(met, F.col("x"), F.col("p1"), like)).distinct(), "pairs")
-    side = lambda n: texts.select(F.col("node").alias(n), F.struct(*_SIGNS).alias(f"s{n}"))
-    bits = sum((differing(F.col(f"sa.{c}"), F.col(f"sb.{c}")) for c in _SIGNS), F.lit(0))
-    return components(pairs.join(side("a"), "a").join(side("b"), "b").where(bits <= most).select("a", "b"))
+    stars = written(_pairs(met, F.col("x"), F.col("p0"), like).union(_pairs(met, F.col("x"), F.col("p1"), like)).distinct(), "stars")
+    first = components(alike(stars, texts, most))
+
+    sizes = first.groupBy("root").agg(F.count("*").alias("n"))
+    weight = F.log2(F.coalesce("n", F.lit(1))).cast("long")
+    # Marks as in linked().
+    mark = F.shiftleft(weight, 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64("root"), 8))
+    known = texts.select("node").join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sizes, "root", "left").select("node", "root", mark.alias("mark"))
+    each = met.select("cell", "x", F.col("x.node").alias("node")).join(known, "node")
+    each = each.selectExpr("cell", "x", "root", "mark", "max(mark) over (partition by cell) as most", "min(mark) over (partition by cell) as least").where("most <> least")
+    each = written(each, "rest")
+    small = each.where("mark <> most").select("cell", "x", F.col("root").alias("u"), F.col("mark").alias("m"))
+    other = each.select("cell", F.col("x").alias("y"), F.col("root").alias("v"), F.col("mark").alias("w"))
+    rest = _pairs(small.join(other, "cell").where((F.col("u") != F.col("v")) & (F.col("w") >= F.col("m"))), F.col("x"), F.col("y"), like)
+    links = alike(written(rest.join(stars, ["a", "b"], "left_anti"), "rest_pairs"), texts, most)
+
+    top = lambda n: known.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
+    more = components(links.join(top("a"), "a").join(top("b"), "b").select("ra", "rb"), "ra", "rb")
+    both = first.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return both.unionByName(more.join(first.select("node"), "node", "left_anti"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = COPY_WORDS, most: int = COPY_BITS, like: tuple[int, int] = COPY_LIKE) -> DataFrame:
-    """docs with one document of each group of equal or similar texts: the one with the least doc_id, null last (of rows that share it, one with the least hash of its text). Its columns are those of docs."""
+    """docs with one document of each group of equal or similar texts: the one with the least doc_id, null last (of rows that share it, one with the least hash of its text). Its columns are those of docs.
+
+    A node is the hash of a text's set of shingles, so that results don't depend on partitions; texts of equal sets are one node.
+    """
     ship(docs.sparkSession)
     names = docs.columns
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
     marked = docs.withColumn("__hash", F.xxhash64("text"))
-    given = marked.select("doc_id", "__hash", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("__key"), "text")
-    whole = StructType([*given.schema.fields[:3], *(StructField(c, LongType()) for c in _SIGNS), *StructType.fromDDL("n int, prefix array<bigint>")])
+    given = marked.select("doc_id", "__hash", "text")
+    whole = StructType([*given.schema.fields[:2], StructField("node", LongType()), *(StructField(c, LongType()) for c in _SIGNS), *StructType.fromDDL("n int, prefix array<bigint>")])
     target = to_arrow_schema(whole)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(3).to_pylist()
+            texts = b.column(2).to_pylist()
             bits = np.array([signs(t, shingle) for t in texts], dtype=np.int64).reshape(-1, 4)
             sets = [shingles(t, shingle) for t in texts]
+            node = pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64))
             more = pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s, *common.value, like) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*b.columns[:3], *map(pa.array, bits.T), *more], target, strict=True)], schema=target)
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*b.columns[:2], node, *map(pa.array, bits.T), *more], target, strict=True)], schema=target)
 
     own = written(given.mapInArrow(work, whole), "prints")
-    texts = own.groupBy("__key").agg(*(F.first(c).alias(c) for c in (*_SIGNS, "n", "prefix")))
-    texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
-    roots = copies(texts, most, like)
-    classes = written(texts.select("__key", "node").join(roots, "node", "left").select("__key", F.coalesce("root", "node").alias("root")), "classes")
+    texts = written(own.groupBy("node").agg(*(F.first(c).alias(c) for c in (*_SIGNS, "n", "prefix"))), "texts")
+    classes = written(texts.select("node").join(copies(texts, most, like), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "classes")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__hash")
-    best = own.select("doc_id", "__hash", "__key").join(classes, "__key").groupBy("root").agg(F.min(order).alias("best"))
+    best = own.select("doc_id", "__hash", "node").join(classes, "node").groupBy("root").agg(F.min(order).alias("best"))
     best = written(best.select(F.col("best.doc_id").alias("__id"), F.col("best.__hash").alias("__h")).distinct(), "best")
     kept = marked.join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")))
     return kept.dropDuplicates(["__id", "__h"]).select(*names)

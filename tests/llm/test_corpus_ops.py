@@ -226,6 +226,25 @@ def test_near_copies_of_all_edits_meet(spark):
     assert got >= {(2 * i + 1, 2 * i) for i in range(len(pairs))}
 
 
+def test_copies_that_are_no_pivots_are_compared(spark):
+    """Two copies in one cell with strangers before and after both: a pivot of neither kind."""
+    own, far = list(range(1000, 1040)), list(range(2000, 2010))
+    rows, sign = [], {}
+    for node in range(40):  # strangers, with a hash in common with the copies, and more of them among each other
+        rows.append((node, 50, [7, *far[:9], 5000 + node]))
+        sign[node] = [random.Random(node).getrandbits(63) for _ in range(4)]
+    rows += [(100, 50, [7, *range(3000, 3010)]), (101, 50, [7, *range(4000, 4010)])]
+    sign[100] = sign[101] = own[:4]
+    texts = spark.createDataFrame([(*r, *sign[r[0]]) for r in rows], "node long, n int, prefix array<long>, s0 long, s1 long, s2 long, s3 long")
+    assert {(r.node, r.root) for r in simhash.copies(texts).collect()} == {(100, 100), (101, 100)}
+
+
+def test_kept_documents_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(x for p in copies_of(21, 60, (0.05, 0.4)) for x in p[1:])], FULL)
+    kept = [{r.doc_id for r in simhash.deduplicated(docs.repartition(n)).collect()} for n in (1, 7)]
+    assert kept[0] == kept[1] and 60 <= len(kept[0]) < 120
+
+
 def test_graph_components(spark):
     rnd = random.Random(10)
     pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(60)] + [(600, 700 + i) for i in range(50)]
