@@ -143,12 +143,10 @@ def grouped(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "t
     return own.join(classes, "fp").select(*keep, "fp", "component_id")
 
 
-#: The near-copy search: words of a shingle, the similarity of copies as a fraction (Jaccard of their
-#: sets of shingles), and differing bits of 256 up to which two texts count as similar.
-COPY_WORDS, COPY_LIKE, COPY_BITS = 5, (4, 5), 48
+#: The near-copy search: words of a shingle, and the similarity of copies as a fraction (Jaccard of their sets of shingles).
+COPY_WORDS, COPY_LIKE = 5, (4, 5)
 #: Texts whose shingles are counted to tell common ones, the count that makes one common, and how many of them are held.
 SAMPLE, COMMON, HELD = 8192, 3, 65_536
-_SIGNS = ("s0", "s1", "s2", "s3")
 
 
 def _parts(text: str | None, shingle: int) -> set[bytes]:
@@ -169,16 +167,6 @@ def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, like: tup
     return hashes[np.lexsort((hashes, known))][: len(hashes) - -(-len(hashes) * like[0] // like[1]) + 1]
 
 
-def signs(text: str | None, shingle: int = COPY_WORDS) -> list[int]:
-    """The 256-bit SimHash of a text's distinct shingles in four parts."""
-    digest, parts = xxhash.xxh3_128_digest, list(_parts(text, shingle))
-    total = np.zeros(256, dtype=np.int64)
-    for k in range(0, len(parts), CHUNK):
-        drawn = b"".join(digest(p, 1) + digest(p, 2) for p in parts[k : k + CHUNK])
-        total += np.unpackbits(np.frombuffer(drawn, dtype=np.uint8), bitorder="little").reshape(-1, 256).sum(axis=0, dtype=np.int64)
-    return np.packbits(total * 2 > len(parts), bitorder="little").view(np.int64).tolist()
-
-
 def common_shingles(docs: DataFrame, shingle: int = COPY_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, counts) of shingles that several of about SAMPLE texts hold. They only decide the order in prefix(): any order is right, and this one keeps common shingles out of the prefixes."""
     n = docs.count()
@@ -220,36 +208,35 @@ def cells_of(texts: DataFrame) -> DataFrame:
     return written(marked.selectExpr("cell", "x", "min(x) over (partition by cell) as p0", "max(struct(degree, x)) over (partition by cell).x as p1"), "met")
 
 
-def alike(pairs: DataFrame, texts: DataFrame, most: int = COPY_BITS) -> DataFrame:
-    """The pairs (a, b) of similar texts."""
-    side = lambda n: texts.select(F.col("node").alias(n), F.struct(*_SIGNS).alias(f"s{n}"))
-    bits = sum((differing(F.col(f"sa.{c}"), F.col(f"sb.{c}")) for c in _SIGNS), F.lit(0))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(bits <= most).select("a", "b")
+def alike(pairs: DataFrame, sets: DataFrame, like: tuple[int, int] = COPY_LIKE) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of like or more, exactly. sets: node, hashes."""
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("hashes").alias(f"s{n}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(both * sum(like) >= (F.size("sa") + F.size("sb")) * like[0]).select("a", "b")
 
 
-def copies(texts: DataFrame, most: int = COPY_BITS, like: tuple[int, int] = COPY_LIKE) -> DataFrame:
-    """(node, root) of similar texts. texts: node, n, prefix and s0 to s3, a row for each different text.
+def copies(met: DataFrame, sets: DataFrame, like: tuple[int, int] = COPY_LIKE) -> DataFrame:
+    """(node, root) of similar texts. met: from cells_of(); sets: node and hashes for each node in it.
 
     Similar texts share a hash of their prefixes, whatever the edit. First every text is compared
     with the pivots of its cells, and components are formed; then texts of different components that
     share a cell are compared, but for those of the cell's largest component with each other.
     """
-    met = cells_of(texts)
     stars = written(_pairs(met, F.col("x"), F.col("p0"), like).union(_pairs(met, F.col("x"), F.col("p1"), like)).distinct(), "stars")
-    first = components(alike(stars, texts, most))
+    first = components(alike(stars, sets, like))
 
     sizes = first.groupBy("root").agg(F.count("*").alias("n"))
     weight = F.log2(F.coalesce("n", F.lit(1))).cast("long")
     # Marks as in linked().
     mark = F.shiftleft(weight, 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64("root"), 8))
-    known = texts.select("node").join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sizes, "root", "left").select("node", "root", mark.alias("mark"))
+    known = sets.select("node").join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sizes, "root", "left").select("node", "root", mark.alias("mark"))
     each = met.select("cell", "x", F.col("x.node").alias("node")).join(known, "node")
     each = each.selectExpr("cell", "x", "root", "mark", "max(mark) over (partition by cell) as most", "min(mark) over (partition by cell) as least").where("most <> least")
     each = written(each, "rest")
     small = each.where("mark <> most").select("cell", "x", F.col("root").alias("u"), F.col("mark").alias("m"))
     other = each.select("cell", F.col("x").alias("y"), F.col("root").alias("v"), F.col("mark").alias("w"))
     rest = _pairs(small.join(other, "cell").where((F.col("u") != F.col("v")) & (F.col("w") >= F.col("m"))), F.col("x"), F.col("y"), like)
-    links = alike(written(rest.join(stars, ["a", "b"], "left_anti"), "rest_pairs"), texts, most)
+    links = alike(written(rest.join(stars, ["a", "b"], "left_anti"), "rest_pairs"), sets, like)
 
     top = lambda n: known.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
     more = components(links.join(top("a"), "a").join(top("b"), "b").select("ra", "rb"), "ra", "rb")
@@ -257,7 +244,7 @@ def copies(texts: DataFrame, most: int = COPY_BITS, like: tuple[int, int] = COPY
     return both.unionByName(more.join(first.select("node"), "node", "left_anti"))
 
 
-def deduplicated(docs: DataFrame, shingle: int = COPY_WORDS, most: int = COPY_BITS, like: tuple[int, int] = COPY_LIKE) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = COPY_WORDS, like: tuple[int, int] = COPY_LIKE) -> DataFrame:
     """docs with one document of each group of equal or similar texts: the one with the least doc_id, null last (of rows that share it, one with the least hash of its text). Its columns are those of docs.
 
     A node is the hash of a text's set of shingles, so that results don't depend on partitions; texts of equal sets are one node.
@@ -267,26 +254,35 @@ def deduplicated(docs: DataFrame, shingle: int = COPY_WORDS, most: int = COPY_BI
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
     marked = docs.withColumn("__hash", F.xxhash64("text"))
     given = marked.select("doc_id", "__hash", "text")
-    whole = StructType([*given.schema.fields[:2], StructField("node", LongType()), *(StructField(c, LongType()) for c in _SIGNS), *StructType.fromDDL("n int, prefix array<bigint>")])
+    whole = StructType([*given.schema.fields[:2], *StructType.fromDDL("node bigint, n int, prefix array<bigint>")])
     target = to_arrow_schema(whole)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            bits = np.array([signs(t, shingle) for t in texts], dtype=np.int64).reshape(-1, 4)
-            sets = [shingles(t, shingle) for t in texts]
-            node = pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64))
-            more = pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s, *common.value, like) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*b.columns[:2], node, *map(pa.array, bits.T), *more], target, strict=True)], schema=target)
+            sets = [shingles(t, shingle) for t in b.column(2).to_pylist()]
+            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            more = pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s, *common.value, like) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*b.columns[:2], *more], target, strict=True)], schema=target)
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, shingle) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    def picked(best: DataFrame) -> DataFrame:
+        """The rows of docs that best (with a struct of that name) points at, at least one for each."""
+        at = written(best.select(F.col("best.doc_id").alias("__id"), F.col("best.__hash").alias("__h"), *(c for c in best.columns if c != "best")).distinct(), "best")
+        return marked.join(at, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")))
 
     own = written(given.mapInArrow(work, whole), "prints")
-    texts = written(own.groupBy("node").agg(*(F.first(c).alias(c) for c in (*_SIGNS, "n", "prefix"))), "texts")
-    classes = written(texts.select("node").join(copies(texts, most, like), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "classes")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__hash")
-    best = own.select("doc_id", "__hash", "node").join(classes, "node").groupBy("root").agg(F.min(order).alias("best"))
-    best = written(best.select(F.col("best.doc_id").alias("__id"), F.col("best.__hash").alias("__h")).distinct(), "best")
-    kept = marked.join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")))
-    return kept.dropDuplicates(["__id", "__h"]).select(*names)
+    order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__hash")).alias("best")
+    texts = written(own.groupBy("node").agg(order, F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+    met = cells_of(texts)
+    near = met.select("x.node").distinct().withColumnRenamed("node", "__node")
+    near = picked(texts.select(F.col("node").alias("__node"), "best").join(near, "__node"))
+    sets = written(near.select(F.col("__node").alias("node"), "text").dropDuplicates(["node"]).mapInArrow(whole_sets, "node bigint, hashes array<bigint>"), "sets")
+    classes = texts.select("node", "best").join(copies(met, sets, like), "node", "left")
+    best = classes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    return picked(best.select("best")).dropDuplicates(["__id", "__h"]).select(*names)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,16 +227,12 @@ def test_near_copies_of_all_edits_meet(spark):
 
 
 def test_copies_that_are_no_pivots_are_compared(spark):
-    """Two copies in one cell with strangers before and after both: a pivot of neither kind."""
-    own, far = list(range(1000, 1040)), list(range(2000, 2010))
-    rows, sign = [], {}
-    for node in range(40):  # strangers, with a hash in common with the copies, and more of them among each other
-        rows.append((node, 50, [7, *far[:9], 5000 + node]))
-        sign[node] = [random.Random(node).getrandbits(63) for _ in range(4)]
+    """Two copies in one cell with strangers that are its pivots."""
+    rows = [(node, 50, [7, *range(2000, 2009), 5000 + node]) for node in range(40)]  # more in common with each other than with the copies
     rows += [(100, 50, [7, *range(3000, 3010)]), (101, 50, [7, *range(4000, 4010)])]
-    sign[100] = sign[101] = own[:4]
-    texts = spark.createDataFrame([(*r, *sign[r[0]]) for r in rows], "node long, n int, prefix array<long>, s0 long, s1 long, s2 long, s3 long")
-    assert {(r.node, r.root) for r in simhash.copies(texts).collect()} == {(100, 100), (101, 100)}
+    whole = [(n, [*p, *range(10**6 * (n if n < 100 else 100), 10**6 * (n if n < 100 else 100) + 200)]) for n, _, p in rows]
+    met = simhash.cells_of(spark.createDataFrame(rows, "node long, n int, prefix array<long>"))
+    assert {(r.node, r.root) for r in simhash.copies(met, spark.createDataFrame(whole, "node long, hashes array<long>")).collect()} == {(100, 100), (101, 100)}
 
 
 def test_kept_documents_do_not_depend_on_partitions(spark):
@@ -245,6 +241,18 @@ def test_kept_documents_do_not_depend_on_partitions(spark):
     assert kept[0] == kept[1] and 60 <= len(kept[0]) < 120
 
 
+def test_near_copies_equal_brute_force(spark):
+    texts = [x for p in copies_of(22, 150, (0.05, 0.5)) for x in p[1:]]
+    rnd = random.Random(23)
+    base = [f"v{i}" for i in range(120)]
+    texts += [" ".join(base)] + [" ".join(edited(rnd, base, ["x", "y"], "substitute", 0.12)) for _ in range(40)]
+    like = [(i, j) for i in range(len(texts)) for j in range(max(0, i - 41), i) if jaccard(texts[i], texts[j]) >= 0.8]
+    below = [i for i in range(0, 300, 2) if 0.6 <= jaccard(texts[i], texts[i + 1]) < 0.8]
+    want = {i for i, r in enumerate(union(len(texts), like)) if i == r}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], FULL).repartition(5)
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == want and len(below) >= 10 and len(like) > 100
+
+
 def test_graph_components(spark):
     rnd = random.Random(10)
     pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(60)] + [(600, 700 + i) for i in range(50)]
