@@ -2,12 +2,12 @@
 
 The base kinds are found by regular expressions and arithmetic (octets, Luhn's sum, digit counts).
 They seed the bootstrap: the one and two words before an entity are its lexical patterns. Candidates
-are tokens like identifiers (up to four letters, then a digit and four or more letters, digits or
-hyphens) that no base span covers. Patterns and instances form a bipartite graph, kept once for each
+are tokens of letters, digits, "_", "-" and "/" with a digit that no base span covers; which of them
+are taken is up to the patterns' confidence. Patterns and instances form a bipartite graph, kept once for each
 pair; a pattern's confidence is the mean of its instances' confidences, smoothed by PRIOR instances
 of none, and an instance's is the largest of its patterns'; seeds stay at 1. After ROUNDS rounds,
-the candidates after a pattern with a confidence of MIN_CONFIDENCE and MIN_SEEDS seeds are added as
-kind "context".
+the candidates after a pattern with a confidence of MIN_CONFIDENCE and MIN_SEEDS instances that are
+seeds or have that confidence by other patterns are added as kind "context".
 
 The graph holds a key of the text, not a document, so that any number of copies of a text count and
 shuffle once. Texts are read twice and never shuffled. The join with accepted patterns and the join
@@ -38,8 +38,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens like identifiers.
-CANDIDATE = r"(?<![A-Za-z0-9@._+-])[A-Za-z]{0,4}[0-9][A-Za-z0-9-]{4,}+(?![A-Za-z0-9@])"
+#: Tokens with a digit.
+CANDIDATE = r"(?<![A-Za-z0-9@._+/-])(?=[A-Za-z_/-]*[0-9])[A-Za-z0-9]++(?:[_/-]++[A-Za-z0-9]++)*+(?!@)"
 
 
 def octets(v: Column) -> Column:
@@ -91,13 +91,12 @@ def _marked(docs: DataFrame) -> DataFrame:
 def accepted(edges: DataFrame, rounds: int = ROUNDS, prior: float = PRIOR, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """pattern and confidence of the patterns to trust. edges: distinct (pattern, v, seed)."""
     worth = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("conf", F.lit(0.0)))
-    patterns = edges.groupBy("pattern").agg((F.sum(F.when(F.col("seed"), 1.0).otherwise(0.0)) / (F.count("*") + prior)).alias("p"))
+    mean, support = (F.sum(worth) / (F.count("*") + prior)).alias("p"), F.count_if(worth >= min_confidence).alias("support")
+    patterns = edges.withColumn("conf", F.lit(0.0)).groupBy("pattern").agg(mean, F.count_if("seed").alias("support"))
     for _ in range(rounds - 1):
         instances = edges.where(~F.col("seed")).join(patterns, "pattern").groupBy("v").agg(F.max("p").alias("conf"))
-        again = edges.join(instances, "v", "left")
-        patterns = again.groupBy("pattern").agg((F.sum(worth) / (F.count("*") + prior)).alias("p"))
-    seeds = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds"))
-    return patterns.join(seeds, "pattern").where((F.col("p") >= min_confidence) & (F.col("seeds") >= min_seeds)).select("pattern", F.col("p").alias("confidence"))
+        patterns = edges.join(instances, "v", "left").groupBy("pattern").agg(mean, support)
+    return patterns.where((F.col("p") >= min_confidence) & (F.col("support") >= min_seeds)).select("pattern", F.col("p").alias("confidence"))
 
 
 def _more(rows: DataFrame) -> DataFrame:

@@ -78,6 +78,16 @@ def test_pii_bootstrap_finds_unseen_identifiers(spark):
     assert red[len(seeds)] == "the member no <context> is new" and red[len(seeds) + 1] == more[1] and "<email>" in red[0] and "@" not in red[0] and red[99] is None and len(red) == 13
 
 
+def test_pii_bootstrap_goes_beyond_its_first_generation(spark):
+    ids = ["EMP-004127", "user_12345", "employee48213", "ABCDE12345", "jdoe1990", "12/345/678"] + [f"Q{i}" for i in range(20)]
+    seeds = [f"member no user{i}@mail{i}.org" for i in range(80)]
+    second = [f"member no {v}" for v in ids] + [f"badge of {v}" for v in ids]
+    texts = seeds + second + ["badge of ZX-99 was lost", "bought 17 of them", "year 2019"]
+    got = {r.doc_id: [texts[r.doc_id][s.a : s.b] for s in r.more] for r in pii.found_spans(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()}
+    assert [got[80 + i] for i in range(2 * len(ids))] == [[v] for v in ids] * 2
+    assert [got[i] for i in range(80 + 2 * len(ids), len(texts))] == [["ZX-99"], [], []]
+
+
 def test_secret_base_against_brute_force(spark):
     texts = texts_of(2, 300)
     docs = spark.createDataFrame(list(enumerate(texts)), DOC).withColumn("key", F.lit("clash"))
