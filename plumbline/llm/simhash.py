@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from plumbline.llm._common import hex64, ship, table, written
+from plumbline.llm._common import forget, hex64, ship, table, written
 from plumbline.llm.graph import components
 
 SHINGLE_WORDS = 4
@@ -205,7 +205,21 @@ def cells_of(texts: DataFrame) -> DataFrame:
     each = texts.select("node", "n", F.posexplode("prefix").alias("at", "cell"))
     shared = written(each.selectExpr("*", "count(*) over (partition by cell) as held").where("held > 1").drop("held"), "shared")
     marked = shared.join(shared.groupBy("node").agg(F.count("*").alias("degree")), "node").withColumn("x", F.struct("node", "n", "at"))
-    return written(marked.selectExpr("cell", "x", "min(x) over (partition by cell) as p0", "max(struct(degree, x)) over (partition by cell).x as p1"), "met")
+    out = written(marked.selectExpr("cell", "x", "min(x) over (partition by cell) as p0", "max(struct(degree, x)) over (partition by cell).x as p1"), "met")
+    forget(shared)
+    return out
+
+
+def likely(pairs: DataFrame, held: DataFrame, like: tuple[int, int] = COPY_LIKE) -> DataFrame:
+    """The pairs (a, b) that can be similar by what their prefixes share; drops no similar one. held: node, n, cells.
+
+    What two sets share outside both prefixes is, of the set whose prefix ends first, no part of the prefix.
+    """
+    side = lambda n: held.select(F.col("node").alias(n), F.col("n").alias(f"n{n}"), F.col("cells").alias(f"c{n}"))
+    most = F.greatest("na", "nb")
+    rest = F.floor((most * like[0] + like[1] - 1) / like[1]) - 1
+    may = (F.size(F.array_intersect("ca", "cb")) + rest) * sum(like) >= (F.col("na") + F.col("nb")) * like[0]
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, like: tuple[int, int] = COPY_LIKE) -> DataFrame:
@@ -223,7 +237,8 @@ def copies(met: DataFrame, sets: DataFrame, like: tuple[int, int] = COPY_LIKE) -
     share a cell are compared, but for those of the cell's largest component with each other.
     """
     stars = written(_pairs(met, F.col("x"), F.col("p0"), like).union(_pairs(met, F.col("x"), F.col("p1"), like)).distinct(), "stars")
-    first = components(alike(stars, sets, like))
+    held = written(met.groupBy("x.node", "x.n").agg(F.collect_list("cell").alias("cells")), "held")
+    first = components(alike(written(likely(stars, held, like), "likely"), sets, like))
 
     sizes = first.groupBy("root").agg(F.count("*").alias("n"))
     weight = F.log2(F.coalesce("n", F.lit(1))).cast("long")
@@ -236,7 +251,7 @@ def copies(met: DataFrame, sets: DataFrame, like: tuple[int, int] = COPY_LIKE) -
     small = each.where("mark <> most").select("cell", "x", F.col("root").alias("u"), F.col("mark").alias("m"))
     other = each.select("cell", F.col("x").alias("y"), F.col("root").alias("v"), F.col("mark").alias("w"))
     rest = _pairs(small.join(other, "cell").where((F.col("u") != F.col("v")) & (F.col("w") >= F.col("m"))), F.col("x"), F.col("y"), like)
-    links = alike(written(rest.join(stars, ["a", "b"], "left_anti"), "rest_pairs"), sets, like)
+    links = alike(written(likely(rest.join(stars, ["a", "b"], "left_anti"), held, like), "likely"), sets, like)
 
     top = lambda n: known.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
     more = components(links.join(top("a"), "a").join(top("b"), "b").select("ra", "rb"), "ra", "rb")

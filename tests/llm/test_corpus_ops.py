@@ -238,9 +238,9 @@ def test_near_copies_of_all_edits_meet(spark):
 
 def test_copies_that_are_no_pivots_are_compared(spark):
     """Two copies in one cell with strangers that are its pivots."""
-    rows = [(node, 50, [7, *range(2000, 2009), 5000 + node]) for node in range(40)]  # more in common with each other than with the copies
-    rows += [(100, 50, [7, *range(3000, 3010)]), (101, 50, [7, *range(4000, 4010)])]
-    whole = [(n, [*p, *range(10**6 * (n if n < 100 else 100), 10**6 * (n if n < 100 else 100) + 200)]) for n, _, p in rows]
+    rows = [(node, 50, [*range(7), *range(2000, 2004)]) for node in range(40)]  # more in common with each other than with the copies
+    rows += [(100, 50, [*range(7), *range(3000, 3004)]), (101, 50, [*range(7), *range(4000, 4004)])]
+    whole = [(n, [*p, *(10**6 * (1 + min(n, 100)) + i for i in range(39))]) for n, _, p in rows]
     met = simhash.cells_of(spark.createDataFrame(rows, "node long, n int, prefix array<long>"))
     assert {(r.node, r.root) for r in simhash.copies(met, spark.createDataFrame(whole, "node long, hashes array<long>")).collect()} == {(100, 100), (101, 100)}
 
