@@ -6,8 +6,10 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import tiktoken
+import xxhash
 from plumbline.llm import bpe, chat, decontam, lm, quality_rules
 from pyspark.sql import functions as F
 
@@ -170,43 +172,205 @@ def tokens(t):
     return (t or "").encode().lower().split() + [b""]
 
 
-@pytest.mark.parametrize("head", [0, 5, 10_000])
-def test_language_model(spark, head):
+def held(doc_id):
+    return zlib.crc32(str(doc_id if doc_id is not None else "").encode()) % 7 == 2
+
+
+def key_of(word):
+    return np.array([xxhash.xxh64_intdigest(word)], dtype=np.uint64).view(np.int64)[0]
+
+
+class Cells:
+    """A model's probabilities, from its cells collected."""
+
+    def __init__(self, model):
+        s = len(model.samples)
+        self.model, self.cells, self.ps = model, {}, {}
+        for r in model.singles.collect():
+            self.cells[r.key >> lm.BITS, r.key & ((1 << lm.BITS) - 1)] = (1, s)
+        for r in model.own.collect():
+            self.cells[r.key >> lm.BITS, r.key & ((1 << lm.BITS) - 1)] = (r.n, r.noted)
+        for r in model.rare.collect():
+            self.ps[r.key] = np.array(r.ps)
+            for u, n, t in zip(r.contexts, r.ns, r.noted, strict=True):
+                self.cells[-1, r.key, u] = (n, t)
+        self.place = {k: i for i, k in enumerate(model.keys.tolist())}
+
+    def context(self, word):
+        return self.place.get(key_of(word), len(self.place) + (word[-1] if word else 0) if word or key_of(word) in self.place else len(self.place))
+
+    def p(self, word, context):
+        m, k = self.model, key_of(word)
+        w = self.place.get(k)
+        n, noted = self.cells.get((w, context) if w is not None else (-1, k, context), (0, 0))
+        parent = m.p[w] if w is not None else self.ps.get(k, m.unknown)
+        return (n - lm.DISCOUNT * noted / len(m.samples)) / (lm.STRENGTH + m.customers[context]) + (m.new[context] * parent).mean()
+
+
+@pytest.mark.parametrize(("head", "pairs"), [(0, 10), (5, 0), (10_000, 3), (10_000, 10**6)])
+def test_language_model(spark, head, pairs):
     rnd = random.Random(7)
     texts = [None, "", "A a b", *(" ".join(rnd.choice("the of a cat dog ran sat UPON é mat".split()) for _ in range(rnd.randint(1, 60))) for _ in range(120)), "new words only here"]
-    docs = lm.divided(spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a b"), (5, texts[5])], DOC).withColumn("key", F.lit("clash")))
-    model = lm.train(docs.where("not held_out").select("doc_id", "text"))
-    got = lm.scored(docs, model, head=head).collect()
+    docs = lm.divided(spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a b"), (5, texts[5])], DOC).withColumns({c: F.lit("clash") for c in ("key", "n", "own", "c")}))
+    model = lm.train(docs.where("not held_out").select("doc_id", "text"), sweeps=2, burn=0, head=head)
+    got = lm.scored(docs, model, pairs=pairs).collect()
     rows = docs.collect()
-    held = lambda d: zlib.crc32(str(d if d is not None else "").encode()) % 7 == 2
     counts = Counter(w for r in rows if not held(r.doc_id) for w in tokens(r.text))
     n, v = sum(counts.values()), len(counts)
-    want = Counter((r.doc_id, held(r.doc_id), len(tokens(r.text)), sum(counts[w] > 0 for w in tokens(r.text)), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(r.text)), 6)) for r in rows)
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    _, _, logs = lm._head(model, 10**6)
-    assert all(abs(s - 1) < 1e-9 for s in (10**logs).sum(axis=0) + model.unseen())
-    p = {r.held_out: r for r in lm.perplexity(lm.scored(docs, model, head=head)).collect()}
-    assert p[True].perplexity < v + 1 and all(r.score < 0 for r in got)
+    cells = Cells(model)
+
+    def score(t):
+        w = tokens(t)
+        return sum(math.log10(cells.p(b, cells.context(a))) for a, b in zip([b"", *w[:-1]], w, strict=True))
 
+    want = Counter((r.doc_id, held(r.doc_id), len(tokens(r.text)), sum(counts[w] > 0 for w in tokens(r.text)), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(r.text)), 6), round(score(r.text), 6)) for r in rows)
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+    for u in range(len(model.customers)):
+        assert abs(sum(cells.p(w, u) for w in counts) + model.unseen()[u] - 1) < 1e-9
+    p = {r.held_out: r for r in lm.perplexity(lm.scored(docs, model)).collect()}
+    assert p[True].perplexity < v + 1
 
-def test_language_model_scores_do_not_depend_on_head_or_partitions(spark):
+
+def test_language_model_scores_do_not_depend_on_pairs_or_partitions(spark):
     texts = [" ".join(random.Random(i).choice("a b c d e f g h".split()) for _ in range(30)) for i in range(40)]
     docs = lm.divided(spark.createDataFrame(list(enumerate(texts)), DOC))
-    score = lambda d, h: {r.doc_id: round(r.score, 9) for r in lm.scored(d, lm.train(d.where("not held_out")), head=h).collect()}
+    score = lambda d, h: {r.doc_id: round(r.score, 9) for r in lm.scored(d, lm.train(d.where("not held_out"), sweeps=2, burn=1), pairs=h).collect()}
     assert score(docs, 3) == score(docs.repartition(7), 1000)
 
 
 def test_language_model_without_training_text(spark):
     docs = spark.createDataFrame([(1, "a b")], DOC).withColumn("held_out", F.lit(True))
-    r = lm.scored(docs, lm.train(docs.where("not held_out"))).first()
+    model = lm.train(docs.where("not held_out"))
+    r = lm.scored(docs, model).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and r.score <= 0
-
-
-def test_seating_is_within_bounds():
-    import numpy as np
-
-    n = np.array([0, 1, 2, 10, 1000, 100_000])
-    for w in (1e-9, 1.0, 1e9):
-        t = lm.seated(n, np.full(len(n), w), 0.7, np.arange(len(n)), 1)
-        assert (t >= np.minimum(n, 1)).all() and (t <= n).all()
-    assert lm.seated(n, np.full(len(n), 1e12), 0.7, np.arange(len(n)), 1)[-1] == 100_000
+    assert lm.scored(docs.limit(0), model).count() == 0
+
+
+def tables_law(n, weight, d):
+    """The exact law of n customers' tables: the product of the chosen weights over all orders of openings."""
+    law = np.zeros(n + 1)
+    law[1] = 1.0
+    for k in range(1, n):
+        new = np.zeros(n + 1)
+        for t in range(1, k + 1):
+            new[t] += law[t] * (k - d * t)
+            new[t + 1] += law[t] * weight(t)
+        law = new
+    return law / law.sum()
+
+
+@pytest.mark.parametrize("n", [2, 9, 40])
+def test_cells_are_reseated_by_their_exact_law(n):
+    size, one = 4000, np.ones(4000)
+    weights = lm.Weights(0.7, 3.0 * one, 0.4 * one, 2.0 * one, 1.0)
+    key = np.arange(size, dtype=np.int64) * 7919
+    owner = opens = np.zeros(0, dtype=np.int64)
+    seen = np.zeros(n + 1)
+    for sweep in range(1, 31):
+        owner, opens = lm.reseated(np.full(size, n), owner, opens, weights, key, lm._salt(sweep, False))
+        assert (np.diff(owner) >= 0).all() and (opens >= 1).all() and (opens < n).all()
+        if sweep > 5:
+            seen += np.bincount(np.bincount(owner, minlength=size) + 1, minlength=n + 1)
+    law = tables_law(n, lambda t: (3.0 + 0.7 * t) * (0.4 + t) / (2.0 + t), 0.7)
+    assert np.abs(seen / seen.sum() - law).max() < 0.01
+
+
+def test_tables_of_very_many_customers():
+    """The mean number of tables agrees with customers seated one by one, whatever the count."""
+    size, one = 300, np.ones(300)
+    for n, w, d in ((10_000, 0.5, 0.75), (1000, 20.0, 0.75), (3000, 200.0, 0.75)):
+        weights = lm.Weights(0.0, w * one, one, one, 0.0)
+        weights.discount = d
+        weights.at = lambda i, t, w=w: np.full(len(i), w)
+        who, _ = lm._seated(np.full(size, n), weights, np.arange(size, dtype=np.int64), 12345)
+        rnd, t = np.random.default_rng(1), np.ones(size)
+        for k in range(1, n):
+            t += rnd.random(size) < w / (w + k - d * t)
+        assert abs(len(who) / size + 1 - t.mean()) < 0.05 * t.mean()
+
+
+def test_log_gamma():
+    x = np.array([0.01, 0.5, 1.0, 2.5, 10.0, 1e3, 1e7])
+    assert np.allclose(lm._log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-9)
+
+
+class Restaurant:
+    """Chinese-restaurant seating, customer by customer."""
+
+    def __init__(self, discount, strength, parent, rnd):
+        self.d, self.s, self.parent, self.rnd = discount, strength, parent, rnd
+        self.at, self.tables, self.customers = {}, 0, 0
+
+    def p(self, w):
+        sizes = self.at.get(w, ())
+        return (sum(sizes) - self.d * len(sizes) + (self.s + self.d * self.tables) * self.parent.p(w)) / (self.s + self.customers)
+
+    def add(self, w):
+        sizes = self.at.setdefault(w, [])
+        chance = [x - self.d for x in sizes] + [(self.s + self.d * self.tables) * self.parent.p(w)]
+        i = self.rnd.choices(range(len(chance)), chance)[0]
+        self.customers += 1
+        if i == len(sizes):
+            sizes.append(1)
+            self.tables += 1
+            self.parent.add(w)
+        else:
+            sizes[i] += 1
+
+    def remove(self, w):
+        sizes = self.at[w]
+        i = self.rnd.choices(range(len(sizes)), sizes)[0]
+        sizes[i] -= 1
+        self.customers -= 1
+        if not sizes[i]:
+            del sizes[i]
+            self.tables -= 1
+            self.parent.remove(w)
+
+
+class Uniform:
+    def __init__(self, p):
+        self.value = p
+
+    def p(self, _):
+        return self.value
+
+    def add(self, _):
+        pass
+
+    remove = add
+
+
+def test_scores_agree_with_a_sampler_of_single_customers(spark):
+    """Held-out log probability, averaged over samples, of a plain sequential Gibbs sampler over the same corpus."""
+    rnd = random.Random(17)
+    words = [f"w{i}" for i in range(60)]
+    follow = {w: [rnd.choice(words) for _ in range(4)] for w in words}
+
+    def text():
+        out = [rnd.choice(words)]
+        while len(out) < 25:
+            out.append(rnd.choice(follow[out[-1]]) if rnd.random() < 0.8 else rnd.choice(words))
+        return " ".join(out)
+
+    texts = [text() for _ in range(150)]
+    docs = lm.divided(spark.createDataFrame(list(enumerate(texts)), DOC))
+    got = {r.doc_id: r.score for r in lm.scored(docs, lm.train(docs.where("not held_out"), sweeps=8, burn=3)).collect()}
+    pairs = [(a, b) for i, t in enumerate(texts) if not held(i) for a, b in zip([b"", *tokens(t)[:-1]], tokens(t), strict=True)]
+    parent = Restaurant(lm.DISCOUNT_0, lm.STRENGTH_0, Uniform(1 / (len({b for _, b in pairs}) + 1)), rnd)
+    rooms = {a: Restaurant(lm.DISCOUNT, lm.STRENGTH, parent, rnd) for a in {a for a, _ in pairs}}
+    for a, b in pairs:
+        rooms[a].add(b)
+    out = [(i, list(zip([b"", *tokens(t)[:-1]], tokens(t), strict=True))) for i, t in enumerate(texts) if held(i)]
+    total = {x: 0.0 for _, ts in out for x in ts}
+    for sweep in range(25):
+        for a, b in pairs:
+            rooms[a].remove(b)
+            rooms[a].add(b)
+        if sweep >= 5:
+            for a, b in total:
+                total[a, b] += (rooms[a].p(b) if a in rooms else parent.p(b)) / 20
+    want = sum(math.log10(total[x]) for _, ts in out for x in ts)
+    assert abs(sum(got[i] for i, _ in out) - want) < 0.005 * abs(want)
+    base = sum(math.log10(1 / 62) for _, ts in out for _ in ts)
+    assert want > 0.9 * base
