@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +21,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession, batch_rows: int = 512) -> None:
+#: Rows of an Arrow batch.
+BATCH = 512
+
+
+def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package, and bounds their Arrow batches.
 
     Documents differ in length by four orders of magnitude, so that the default of 10,000 rows a batch isn't a bound on memory.
+    The bound is the same for all operators, for a lazy DataFrame runs under what is set when it is computed; a lower one is kept.
     """
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "0") or 0)
+    if not 0 < now <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of about `rows`, for work in numpy on short rows."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, one inside the warehouse, which executors share too."""
+    """The folder in spark.checkpoint.dir. Where that is unset and Spark runs on this machine alone, one inside the warehouse; on a cluster that is an error, for the warehouse's default is a folder of one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         sc.setCheckpointDir(at)
     return sc.getCheckpointDir()
 
@@ -66,10 +93,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 def _sweep() -> None:
     """Removes what written() left, if Spark still runs then."""
     for spark, path in _WRITTEN:
-        try:
+        with contextlib.suppress(Exception):  # a session that has ended
             _remove(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended
-            return
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:
