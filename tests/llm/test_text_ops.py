@@ -184,36 +184,38 @@ class Cells:
     """A model's probabilities, from its cells collected."""
 
     def __init__(self, model):
-        s = len(model.samples)
         self.model, self.cells, self.ps = model, {}, {}
-        for r in model.singles.collect():
-            self.cells[r.key >> lm.BITS, r.key & ((1 << lm.BITS) - 1)] = (1, s)
         for r in model.own.collect():
             self.cells[r.key >> lm.BITS, r.key & ((1 << lm.BITS) - 1)] = (r.n, r.noted)
         for r in model.rare.collect():
             self.ps[r.key] = np.array(r.ps)
             for u, n, t in zip(r.contexts, r.ns, r.noted, strict=True):
                 self.cells[-1, r.key, u] = (n, t)
-        self.place = {k: i for i, k in enumerate(model.keys.tolist())}
+        self.place = {k: i for i, k in enumerate(model.head.keys.tolist())}
 
     def context(self, word):
-        return self.place.get(key_of(word), len(self.place) + (word[-1] if word else 0) if word or key_of(word) in self.place else len(self.place))
+        u = self.model.head.context[self.place[key_of(word)]] if key_of(word) in self.place else -1
+        return u if u >= 0 else self.model.head.contexts + (word[-1] if word else 0)
 
     def p(self, word, context):
         m, k = self.model, key_of(word)
         w = self.place.get(k)
         n, noted = self.cells.get((w, context) if w is not None else (-1, k, context), (0, 0))
-        parent = m.p[w] if w is not None else self.ps.get(k, m.unknown)
+        parent = m.p[w] if w is not None else self.ps.get(k, m.never)
         return (n - lm.DISCOUNT * noted / len(m.samples)) / (lm.STRENGTH + m.customers[context]) + (m.new[context] * parent).mean()
 
 
-@pytest.mark.parametrize(("head", "pairs"), [(0, 10), (5, 0), (10_000, 3), (10_000, 10**6)])
-def test_language_model(spark, head, pairs):
+@pytest.mark.parametrize(("head", "contexts", "pairs"), [(0, 9, 10), (5, 3, 0), (10_000, 10_000, 3), (10_000, 10_000, 10**6)])
+def test_language_model(spark, head, contexts, pairs):
     rnd = random.Random(7)
     texts = [None, "", "A a b", *(" ".join(rnd.choice("the of a cat dog ran sat UPON é mat".split()) for _ in range(rnd.randint(1, 60))) for _ in range(120)), "new words only here"]
-    docs = lm.divided(spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a b"), (5, texts[5])], DOC).withColumns({c: F.lit("clash") for c in ("key", "n", "own", "c")}))
-    model = lm.train(docs.where("not held_out").select("doc_id", "text"), sweeps=2, burn=0, head=head)
+    docs = lm.divided(spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a b"), (5, texts[5])], DOC).withColumns({c: F.lit("clash") for c in ("key", "n", "own", "c", "row", "x")}))
+    model = lm.train(docs.where("not held_out").select("doc_id", "text"), sweeps=2, burn=0, head=head, contexts=contexts)
     got = lm.scored(docs, model, pairs=pairs).collect()
+    small = lm.train(docs, held="held_out", sweeps=2, burn=0, head=head, contexts=contexts)
+    again = lm.scored(docs, small, pairs=pairs).collect()
+    rows_of = lambda x: Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in x)
+    assert rows_of(got) == rows_of(again)
     rows = docs.collect()
     counts = Counter(w for r in rows if not held(r.doc_id) for w in tokens(r.text))
     n, v = sum(counts.values()), len(counts)
@@ -226,7 +228,7 @@ def test_language_model(spark, head, pairs):
     want = Counter((r.doc_id, held(r.doc_id), len(tokens(r.text)), sum(counts[w] > 0 for w in tokens(r.text)), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(r.text)), 6), round(score(r.text), 6)) for r in rows)
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
     for u in range(len(model.customers)):
-        assert abs(sum(cells.p(w, u) for w in counts) + model.unseen()[u] - 1) < 1e-9
+        assert abs(sum(cells.p(w, u) for w in counts) + 10 ** model.logs().unknown[u] - 1) < 1e-9
     p = {r.held_out: r for r in lm.perplexity(lm.scored(docs, model)).collect()}
     assert p[True].perplexity < v + 1
 
