@@ -5,15 +5,18 @@ beginnings, and a few measures of style, each cut into steps; all are hashed to
 shared by all thresholds: P(grade > j) = logistic(w x - t_j), t_0 < t_1 < ... The expected grade is
 the sum of these tail probabilities, and the last is used for selection.
 
-The model is fitted on the driver to a bounded sample: the FIT_ROWS labelled documents with the
-least hashes of their ids, whatever the input's size; their features, at most FIT_FEATURES each by
-least place, go there as arrays. It is fitted by accelerated proximal gradient steps with an
-L1 penalty, which leaves weights to few words, so that long texts don't drift. Weights are of fixed
-size (1 MB) when broadcast. Every document is scored on its whole text.
-
-Cases: a null text is empty and has only features of style; ids labelled more than once take the
-least grade; labels that are null are not used; without labels every document gets the highest
-grade; ratings of one grade only give that grade to all; repeated rows get equal scores.
+The model is fitted on the driver to a bounded sample of whole labelled documents: in the order of
+hashes of their ids, at most FIT_ROWS, and no more from the one on with which they would have over
+FIT_PLACES features. A document has the same features when it is fitted to as when it is scored. It is
+fitted by accelerated proximal gradient steps, until they change next to nothing, with an L1 penalty,
+which leaves weights to few words, so that long texts don't drift. Weights are of fixed size (1 MB)
+when broadcast. Every document is scored on its whole text, however long.
+
+Cases: a null text is empty and has only features of style; an empty table of documents gives an empty
+result; ids may have any type that joins and sorts; ids labelled more than once take the least grade,
+and of documents that share an id the least features; labels that are null are not used; without
+labels every document gets the highest grade; ratings of one grade only give that grade to all;
+repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -32,12 +35,12 @@ from plumbline.llm._common import ship, table
 from plumbline.llm.decontam import words_of
 
 PLACES = 1 << 18
-FIT_ROWS = 12_000
-FIT_FEATURES = 4096
+FIT_ROWS, FIT_PLACES = 12_000, 12_000_000
 MIN_DOCS = 4
 #: Bytes of a word's beginning that is a feature too.
 STEM = 6
-STEPS = 300
+#: Steps at most, and the change of the thresholds and of the largest weight below which they end.
+STEPS, STILL = 300, 1e-4
 L1 = 4e-4
 #: Documents with a probability of the highest grade below this are rejected.
 MIN_TAIL = 0.4
@@ -86,7 +89,7 @@ class Ordinal:
         return _logistic(float(self.weights[places].sum()) - self.thresholds)
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, steps: int = STEPS, l1: float = L1) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, steps: int = STEPS, l1: float = L1, still: float = STILL) -> Ordinal:
     """The model of feature rows and grades 0 to top."""
     weights = np.zeros(PLACES)
     if not rows or len(set(grades.tolist())) < 2:
@@ -98,17 +101,21 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, steps: int = STEPS
     owner, place = owner[often[place]], place[often[place]]
     used, place = np.unique(place, return_inverse=True)
     n = len(rows)
+    by_row = np.searchsorted(owner, np.arange(n + 1))
+    order = np.argsort(place, kind="stable")
+    held_by, by_place = owner[order], np.searchsorted(place[order], np.arange(len(used) + 1))
+    sums = lambda x, cuts: np.diff(np.concatenate(([0.0], np.cumsum(x)))[cuts])
     above = (grades[:, None] > np.arange(top)).astype(float)
     base = np.clip(above.mean(axis=0), 1e-3, 1 - 1e-3)
     t = np.log((1 - base) / base)
     w = np.zeros(len(used))
     ahead_w, ahead_t, momentum = w, t, 1.0
-    scale = 1 / (np.bincount(place, minlength=len(used)) / n + 0.02)  # steps by how common a place is
-    rate = 1.0 / max(1.0, np.bincount(owner, weights=scale[place] * np.bincount(place, minlength=len(used))[place] / n, minlength=n).mean())
+    share = np.diff(by_place) / n
+    scale = 1 / (share + 0.02)  # steps by how common a place is
+    rate = 1.0 / max(1.0, sums((scale * share)[place], by_row).mean())
     for _ in range(steps):
-        z = np.bincount(owner, weights=ahead_w[place], minlength=n)
-        error = _logistic(z[:, None] - ahead_t) - above
-        g = np.bincount(place, weights=error.sum(axis=1)[owner], minlength=len(used)) / n
+        error = _logistic(sums(ahead_w[place], by_row)[:, None] - ahead_t) - above
+        g = sums(error.sum(axis=1)[held_by], by_place) / n
         new = ahead_w - rate * scale * g
         new = np.sign(new) * np.maximum(0, np.abs(new) - rate * scale * l1)
         new_t = np.sort(ahead_t + rate * 4 * error.mean(axis=0))
@@ -116,34 +123,48 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, steps: int = STEPS
         pull = (momentum - 1) / again
         if ((ahead_w - new) * (new - w)).sum() > 0:  # restart where the step turns back
             again, pull = 1.0, 0.0
+        moved = max(np.abs(new - w).max(initial=0), np.abs(new_t - t).max(initial=0))
         ahead_w, ahead_t = new + pull * (new - w), np.sort(new_t + pull * (new_t - t))
         w, t, momentum = new, new_t, again
+        if moved < still:
+            break
     weights[used] = w
     return Ordinal(weights, t)
 
 
-def train(docs: DataFrame, ratings: DataFrame, top: int, fit_rows: int = FIT_ROWS) -> Ordinal:
-    """Fits to the sample. ratings: doc_id, grade (0 to top)."""
-    spark = docs.sparkSession
-    ship(spark)
-    rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    # Only hashes that can be among the least are sorted: half as many again as are taken.
+def sampled(rated: DataFrame, fit_rows: int) -> DataFrame:
+    """The fit_rows rows of rated (or all) with the least hashes of doc_id."""
     hashed, total = F.shiftrightunsigned(F.xxhash64("doc_id"), 32), rated.count()
-    if total > 2 * fit_rows:
-        rated = rated.where(hashed < int((1 << 32) * 1.5 * fit_rows / total))
-    sample = rated.orderBy(hashed, "doc_id").limit(fit_rows)
+    share, some = 1.5 * fit_rows / max(1, total), rated
+    # Only hashes that can be among the least are sorted; more of them where these are too few.
+    while share < 1:
+        some = rated.where(hashed < int((1 << 32) * share))
+        if some.count() >= fit_rows:
+            break
+        share, some = 2 * share, rated
+    return some.orderBy(hashed, "doc_id").limit(fit_rows)
+
+
+def train(docs: DataFrame, ratings: DataFrame, top: int, fit_rows: int = FIT_ROWS, fit_places: int = FIT_PLACES) -> Ordinal:
+    """Fits to the sample. ratings: doc_id, grade (0 to top)."""
+    ship(docs.sparkSession)
+    rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     # At most fit_rows rows; documents that repeat an id are taken once.
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text")
-    target = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("places", pa.list_(pa.int32()))])
+    texts = docs.select("doc_id", "text").join(F.broadcast(sampled(rated, fit_rows)), "doc_id").select("doc_id", "grade", "text")
+    whole = StructType([*texts.schema.fields[:2], *StructType.fromDDL("places array<int>").fields])
+    target = to_arrow_schema(whole)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places = [np.sort(features(t))[:FIT_FEATURES].tolist() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), pa.array(places, pa.list_(pa.int32()))], schema=target)
-
-    got = texts.mapInArrow(work, "doc_id bigint, grade int, places array<int>").groupBy("doc_id").agg(F.min(F.struct("grade", "places")).alias("x"))
-    rows, grades = [], []
-    for r in got.select("doc_id", "x.grade", "x.places").orderBy("doc_id").toLocalIterator():
+            places = [np.sort(features(t)) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(places, pa.list_(pa.int32()))], schema=target)
+
+    got = texts.mapInArrow(work, whole).groupBy("doc_id").agg(F.min(F.struct("grade", "places")).alias("x"))
+    rows, grades, held = [], [], 0
+    for r in got.select("x.grade", "x.places").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        held += len(r["places"])
+        if rows and held > fit_places:
+            break
         rows.append(np.array(r["places"], dtype=np.int32))
         grades.append(r["grade"])
     return fit(rows, np.array(grades, dtype=np.int64), top)

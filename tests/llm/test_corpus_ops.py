@@ -340,6 +340,31 @@ def test_classifier_cases(spark):
     assert quality_model.scored(docs.limit(0), none).count() == 0
 
 
+def test_long_texts_train_with_all_their_features(spark):
+    long = " ".join(f"v{i}" for i in range(12_000))
+    docs = spark.createDataFrame([(f"id{i}", long if i % 2 else "short text", "clash") for i in range(20)], "doc_id string, text string, places string")
+    seen = []
+    keep, quality_model.fit = quality_model.fit, lambda rows, grades, top: seen.append((rows, grades))
+    try:
+        quality_model.train(docs, docs.selectExpr("doc_id", "if(text = 'short text', 0, 2) as grade"), 2)
+        quality_model.train(docs, docs.selectExpr("doc_id", "0 as grade"), 2, fit_places=30_000)
+    finally:
+        quality_model.fit = keep
+    (rows, grades), (few, _) = seen
+    assert len(rows) == 20 and all(set(r.tolist()) == set(quality_model.features(long if g else "short text").tolist()) for r, g in zip(rows, grades, strict=True))
+    assert 1 <= len(few) < 20 and sum(map(len, few)) <= 30_000
+
+
+def test_sample_is_never_too_small(spark):
+    rated = spark.range(100_000).withColumnRenamed("id", "doc_id").withColumn("grade", F.lit(1))
+    for n in (1, 3, 10, 200_000):
+        got = {r.doc_id for r in quality_model.sampled(rated, n).collect()}
+        assert len(got) == min(n, 100_000)
+        if n < 100:
+            least = rated.selectExpr("doc_id", "shiftrightunsigned(xxhash64(doc_id), 32) as h").orderBy("h", "doc_id").limit(n)
+            assert got == {r.doc_id for r in least.collect()}
+
+
 def test_pipeline(spark, tmp_path):
     rnd = random.Random(13)
     rows = graded_docs(400, 14)
