@@ -108,10 +108,19 @@ def differing(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+#: Rows that a task turns into cells.
+ROWS_EACH = 8192
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """df in as many tasks as its rows need, however few files hold them: they are short now, but become many cells each."""
+    return df.repartition(max(1, -(-df.count() // ROWS_EACH)))
+
+
 def linked(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(node, root) for the fingerprints fp that have a link; root is the least of the component."""
     at = F.explode(cells(F.col("fp"), radius)).alias("cell")
-    least = distinct.select("fp", at).selectExpr("fp", "min(fp) over (partition by cell) as r")
+    least = _spread(distinct.select("fp")).select("fp", at).selectExpr("fp", "min(fp) over (partition by cell) as r")
     stars = least.where(F.col("fp") != F.col("r")).where(differing(F.col("fp"), F.col("r")) <= radius)
     first = components(stars, "fp", "r")
 
@@ -120,7 +129,7 @@ def linked(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     known = distinct.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(sizes, "root", "left")
     # Larger components have larger marks; marks of different components differ but for one pair in 2^56.
     mark = F.shiftleft(weight, 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64("root"), 8))
-    met = written(known.select("fp", "root", mark.alias("mark")), "marked").select("*", at)
+    met = _spread(written(known.select("fp", "root", mark.alias("mark")), "marked")).select("*", at)
     met = met.selectExpr("*", "max(mark) over (partition by cell) as most", "min(mark) over (partition by cell) as least").where("most <> least")
     small = met.where("mark <> most").select(F.col("cell"), F.col("fp").alias("f"), F.col("root").alias("a"), F.col("mark").alias("m"))
     other = met.select("cell", F.col("fp").alias("g"), F.col("root").alias("b"), F.col("mark").alias("w"))
@@ -145,8 +154,8 @@ def grouped(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "t
 
 #: The near-copy search: words of a shingle, and the similarity of copies as a fraction (Jaccard of their sets of shingles).
 COPY_WORDS, COPY_LIKE = 5, (4, 5)
-#: Texts whose shingles are counted to tell common ones, the count that makes one common, and how many of them are held.
-SAMPLE, COMMON, HELD = 8192, 3, 65_536
+#: One text in ONE_IN has its shingles counted to tell common ones (more of few texts, so that LEAST are); the count that makes one common, and how many of them are held.
+ONE_IN, LEAST, COMMON, HELD = 16, 8192, 3, 262_144
 
 
 def _parts(text: str | None, shingle: int) -> set[bytes]:
@@ -168,9 +177,9 @@ def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, like: tup
 
 
 def common_shingles(docs: DataFrame, shingle: int = COPY_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of shingles that several of about SAMPLE texts hold. They only decide the order in prefix(): any order is right, and this one keeps common shingles out of the prefixes."""
-    n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(max(1, n))) < SAMPLE).select("text").distinct()
+    """(sorted hashes, counts) of shingles that several of the texts looked at hold, whose share is fixed, so that they grow with the input. They only decide the order in prefix(): any order is right, and this one keeps common shingles out of the prefixes."""
+    one_in = min(ONE_IN, max(1, docs.count() // LEAST))
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(one_in)) == 0).select("text").distinct()
     target = pa.schema([("h", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,11 +300,14 @@ def deduplicated(docs: DataFrame, shingle: int = COPY_WORDS, like: tuple[int, in
     own = written(given.mapInArrow(work, whole), "prints")
     order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__hash")).alias("best")
     texts = written(own.groupBy("node").agg(order, F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+    forget(own)
     met = cells_of(texts)
     near = met.select("x.node").distinct().withColumnRenamed("node", "__node")
     near = picked(texts.select(F.col("node").alias("__node"), "best").join(near, "__node"))
     sets = written(near.select(F.col("__node").alias("node"), "text").dropDuplicates(["node"]).mapInArrow(whole_sets, "node bigint, hashes array<bigint>"), "sets")
-    classes = texts.select("node", "best").join(copies(met, sets, like), "node", "left")
+    slim = written(texts.select("node", "best"), "texts")
+    forget(texts)
+    classes = slim.join(copies(met, sets, like), "node", "left")
     best = classes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     return picked(best.select("best")).dropDuplicates(["__id", "__h"]).select(*names)
 
