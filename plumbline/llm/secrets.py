@@ -1,19 +1,22 @@
 """Secrets: base patterns, and a battery of randomness tests under false-discovery control; native Spark.
 
-Candidates are tokens of MIN_LENGTH or more characters of base64's alphabets with a digit, that no
-base span covers. For each an encoding is inferred (hex, base32, base36, base62, base64), and over
-its alphabet three tests are made of the symbols' places: chi-squared for uniformity (as a normal
-deviate, by Wilson and Hilferty's cube root), runs above and below the middle, and serial correlation
-at lag 1. The statistic is the largest deviate; a random token has a small one.
-
-Under the null hypothesis a token is natural language. Its distribution is taken from the corpus:
-from each text, a stretch of neighbouring words run together and cut to the least length of a band.
-A candidate's p-value is the share of the null's statistics, of the candidate's band of length, that
-are not larger; Benjamini and Hochberg's rule at Q then sets each band's limit. Counts are held by
-band and step of the statistic, a table of fixed size, so that nothing is sorted or collected.
-
-Cases: a null text is empty; equal texts count once for the statistics, and equal rows get equal
-results; without natural text or candidates in a band nothing is added there; base spans stay.
+Candidates are tokens of MIN_LENGTH or more characters of base64's alphabets, whatever stands before
+or after them, that no base span covers. For each an encoding is inferred (hex, base32, base36,
+base62, base64), and over its alphabet three tests are made of the symbols' places: chi-squared for
+uniformity (as a normal deviate, by Wilson and Hilferty's cube root), runs above and below the
+middle, and serial correlation at lag 1. The statistic is the largest deviate; a random token has a
+small one.
+
+Under the null hypothesis a token is natural language, written in that encoding. Its distribution is
+taken from whole texts: each different stretch of neighbouring words, run together, counts once, for
+one encoding and one band of length, by its hash, cut to the band's least length. A candidate's
+p-value is the share of the null's statistics, of its band and encoding, that are not larger;
+Benjamini and Hochberg's rule at Q then sets the limit of each band and encoding. Counts are held by
+band, encoding and step of the statistic, a table of fixed size, so that nothing is sorted or collected.
+
+Cases: a null text is empty; an empty table gives an empty result; a very long text is read whole;
+equal texts count once for the statistics, and equal rows get equal results; without natural text or
+candidates in a band nothing is added there; base spans stay.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ ASSIGNED = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex")
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+(?![@.])"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 #: Neighbouring words of lower-case letters.
 NATURAL = r"(?<![^\s])(?:[a-z]{2,} ){4,40}"
 
@@ -56,19 +59,25 @@ def base_spans(t: Column) -> dict[str, Column]:
 
 
 def with_encoding(df: DataFrame) -> DataFrame:
-    """df (with v), and encoding, alphabet, and s: v in the alphabet's own letters."""
+    """df (with v), and encoding, and s: v in the letters of the encoding's alphabet."""
     v = F.col("v")
     kind = F.when(v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(v.rlike("^[A-Z2-7]+$"), "base32").when(v.rlike("^(?:[0-9a-z]+|[0-9A-Z]+)$"), "base36").when(v.rlike("^[0-9A-Za-z]+$"), "base62").otherwise("base64")
-    alphabet = F.lit(None).cast("string")
-    for name, letters in ALPHABETS.items():
-        alphabet = F.when(F.col("encoding") == name, letters).otherwise(alphabet)
     own = F.when(F.col("encoding").isin("hex", "base36"), F.lower("v")).when(F.col("encoding") == "base64", F.translate("v", "-_", "+/")).otherwise(v)
-    return df.withColumn("encoding", kind).withColumn("alphabet", alphabet).withColumn("s", own)
+    return df.withColumn("encoding", kind).withColumn("s", own)
+
+
+def as_encoded(df: DataFrame) -> DataFrame:
+    """df (with v, of lower-case letters, and encoding), and s: v as it would be in the encoding; letters share the places of hex."""
+    letters = ALPHABETS["hex"] + ALPHABETS["hex"][:10]
+    return df.withColumn("s", F.when(F.col("encoding") == "hex", F.translate("v", _LOWER, letters)).when(F.col("encoding") == "base32", F.upper("v")).otherwise(F.col("v")))
 
 
 def tested(df: DataFrame) -> DataFrame:
-    """df (with v), and z_chi, z_runs, z_serial and statistic."""
-    df = with_encoding(df)
+    """df (with encoding and s), and z_chi, z_runs, z_serial and statistic."""
+    alphabet = F.lit(None).cast("string")
+    for name, letters in ALPHABETS.items():
+        alphabet = F.when(F.col("encoding") == name, letters).otherwise(alphabet)
+    df = df.withColumn("alphabet", alphabet)
     df = df.withColumn("size", F.length("alphabet").cast("double")).withColumn("n", F.length("s").cast("double"))
     # Each symbol's place in the alphabet, and the sum of squares of the symbols' counts.
     df = df.withColumn("x", F.expr("transform(filter(split(s, ''), c -> c <> ''), c -> instr(alphabet, c) - 1)"))
@@ -99,16 +108,27 @@ def _step() -> Column:
 
 
 def limits(candidates: DataFrame, natural: DataFrame, q: float = Q) -> DataFrame:
-    """band and most: the largest step that is a discovery. candidates, natural: tested, with band."""
-    held = candidates.groupBy("band", _step()).agg(F.count("*").alias("found"), F.lit(0).cast("bigint").alias("null"))
-    null = natural.groupBy("band", _step()).agg(F.lit(0).cast("bigint").alias("found"), F.count("*").alias("null"))
-    # At most one row for each band and step, so one task can add them up.
-    each = held.unionByName(null).groupBy("band", "step").agg(F.sum("found").alias("found"), F.sum("null").alias("null"))
-    upto, whole = W.partitionBy("band").orderBy("step"), W.partitionBy("band")
+    """band, encoding and most: the largest step that is a discovery. candidates, natural: tested, with band."""
+    cell = ("band", "encoding")
+    held = candidates.groupBy(*cell, _step()).agg(F.count("*").alias("found"), F.lit(0).cast("bigint").alias("null"))
+    null = natural.groupBy(*cell, _step()).agg(F.lit(0).cast("bigint").alias("found"), F.count("*").alias("null"))
+    # At most one row for each band, encoding and step, so one task can add them up.
+    each = held.unionByName(null).groupBy(*cell, "step").agg(F.sum("found").alias("found"), F.sum("null").alias("null"))
+    upto, whole = W.partitionBy(*cell).orderBy("step"), W.partitionBy(*cell)
     p = (F.sum("null").over(upto) + 1) / (F.sum("null").over(whole) + 1)
     share = F.sum("found").over(upto) / F.greatest(F.sum("found").over(whole), F.lit(1))
-    ranked = each.select("band", "step", p.alias("p"), share.alias("share"))
-    return ranked.where(F.col("p") <= q * F.col("share")).groupBy("band").agg(F.max("step").alias("most"))
+    ranked = each.select(*cell, "step", p.alias("p"), share.alias("share"))
+    return ranked.where(F.col("p") <= q * F.col("share")).groupBy(*cell).agg(F.max("step").alias("most"))
+
+
+def natural(docs: DataFrame) -> DataFrame:
+    """band, encoding and v: each different stretch of words of the texts of docs, run together and cut, in one of the bands that it fills."""
+    each = docs.select(F.explode(F.regexp_extract_all(text_of(docs), F.lit(NATURAL), F.lit(0))).alias("v")).select(F.substring(F.replace("v", F.lit(" "), F.lit("")), 1, BANDS[-1]).alias("v"))
+    each = each.where(F.length("v") >= BANDS[0]).distinct().withColumn("h", F.xxhash64("v"))
+    filled = sum(F.when(F.length("v") >= b, 1).otherwise(0) for b in BANDS)
+    pick = lambda values, by, n: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.shiftright("h", by), n) + 1).cast("int"))
+    each = each.select("v", pick(BANDS, 8, filled).alias("band"), pick(ALPHABETS, 32, F.lit(len(ALPHABETS))).alias("encoding"))
+    return each.select("band", "encoding", F.substr("v", F.lit(1), F.col("band")).alias("v"))
 
 
 def found_spans(docs: DataFrame, q: float = Q) -> DataFrame:
@@ -118,20 +138,19 @@ def found_spans(docs: DataFrame, q: float = Q) -> DataFrame:
     rows = rows.withColumn("taken", F.concat(*KINDS)).withColumn("near", spans(F.col("t"), CANDIDATE, where=F.col("t").rlike(CANDIDATE)))
     other = F.filter("near", lambda s: free(s, F.col("taken")))
     some = F.size("near") > 0
-    plain = F.replace(F.regexp_extract("t", NATURAL, 0), F.lit(" "), F.lit(""))
     short = lambda k: F.transform(k, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))).alias(k)
-    rows = written(rows.select("doc_id", F.when(some, F.sha2("t", 256)).alias("key"), *(short(k) for k in KINDS), other.alias("other"), F.substring(plain, 1, BANDS[-1]).alias("plain")), "secrets")
+    rows = written(rows.select("doc_id", F.when(some, F.sha2("t", 256)).alias("key"), *(short(k) for k in KINDS), other.alias("other")), "secrets")
 
     tokens = written(rows.where("size(other) > 0").select("key", F.explode("other").alias("o")).select("key", "o.a", "o.b", "o.v").distinct(), "tokens")
-    values = written(tested(tokens.select("v").distinct()).select("v", "statistic", _band(F.length("v")).alias("band")), "values")
-    cut = F.explode(F.filter(F.transform(F.array(*map(F.lit, BANDS)), lambda b: F.struct(b.alias("band"), F.substr(F.col("plain"), F.lit(1), b).alias("v"))), lambda x: F.length(x["v"]) == x["band"]))
-    natural = rows.select("plain").distinct().select(cut.alias("c")).select("c.band", "c.v").distinct()
-    most = limits(values, tested(natural).select("band", "statistic"), q)
-    # One row for each of the bands.
-    good = values.withColumn("step", _step()).join(F.broadcast(most), "band").where("step <= most").select("v")
+    values = written(tested(with_encoding(tokens.select("v").distinct())).select("v", "encoding", "statistic", _band(F.length("v")).alias("band")), "values")
+    most = limits(values, tested(as_encoded(natural(docs))).select("band", "encoding", "statistic"), q)
+    # One row for each band and encoding.
+    good = values.withColumn("step", _step()).join(F.broadcast(most), ["band", "encoding"]).where("step <= most").select("v")
     more = written(tokens.join(good, "v").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("more")), "more")
-    out = rows.drop("other", "plain").join(more, "key", "left")
-    return out.select("doc_id", *KINDS, F.coalesce("more", F.array().cast("array<struct<a:int,b:int>>")).alias("more"))
+    kept, none = rows.drop("other"), "array<struct<a:int,b:int>>"
+    # Most texts have no candidates, and so no key: they needn't be shuffled to meet the others.
+    out = kept.where("key is not null").join(more, "key", "left").unionByName(kept.where("key is null").withColumn("more", F.lit(None).cast(none)))
+    return out.select("doc_id", *KINDS, F.coalesce("more", F.array().cast(none)).alias("more"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

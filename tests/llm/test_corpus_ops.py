@@ -88,6 +88,32 @@ def test_pii_bootstrap_goes_beyond_its_first_generation(spark):
     assert [got[i] for i in range(80 + 2 * len(ids), len(texts))] == [["ZX-99"], [], []]
 
 
+def test_function_words_are_no_patterns(spark):
+    """Words that precede phone numbers, but mostly plain words, add nothing; a rare cue does, in the same corpus."""
+    rnd = random.Random(31)
+    plain = "river house market bridge stone garden letter window harbour evening story song bread hill road".split()
+    small = ["the", "of", "in", "from", "and", "|"]
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    bad = lambda: next(d for d in iter(lambda: digits(16), "") if not luhn(d))
+    texts = []
+    for _ in range(200):
+        words = []
+        for _ in range(40):
+            words += [rnd.choice(small), rnd.choice(plain) + rnd.choice(["", "s", "ed"])]
+        words += [rnd.choice(small), f"+1 (234) 555-{digits(4)}", rnd.choice(plain), rnd.choice(small), bad(), rnd.choice(plain)]
+        texts.append(" ".join(words))
+    cued = [f"{rnd.choice(texts[:20])} passport holder {f'p{i}@mail{i}.org' if i % 3 else f'PX-{digits(6)}'} {rnd.choice(plain)}" for i in range(60)]
+    got = {r.doc_id: [(texts + cued)[r.doc_id][s.a : s.b] for s in r.more] for r in pii.found_spans(spark.createDataFrame(list(enumerate(texts + cued)), DOC)).collect()}
+    assert all(got[i] == [] for i in range(len(texts)))
+    assert all([x[:3] for x in got[len(texts) + i]] == ([] if i % 3 else ["PX-"]) for i in range(len(cued)))
+
+
+def test_plain_words_are_counted_over_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "The cat the dog (the cat) of the"), (2, None), (3, "x the 'bird' the 17"), (4, "x the 'bird' the a@b")], DOC)
+    want = spark.createDataFrame([("1 the",), ("2 cat the",), ("1 nothing",)], "pattern string")
+    assert {r.pattern: r.others for r in pii.others(docs, want).collect()} == {"1 the": 5, "2 cat the": 1}
+
+
 def test_secret_base_against_brute_force(spark):
     texts = texts_of(2, 300)
     docs = spark.createDataFrame(list(enumerate(texts)), DOC).withColumn("key", F.lit("clash"))
@@ -112,8 +138,44 @@ def test_random_tokens_are_found_and_names_are_not(spark):
     assert not [i for i in hit if i < len(plain) or i >= len(plain) + len(keys)]
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+FRAMES = ("use {} now", "auth={} end", "see https://h.example/a?sig={}&x=1", 'key: "{}"', "The key is {}. Then", "user@{} x", "jwt aaa.{}.bbb")
+
+
+def prose(rnd, n):
+    words = "the quick river flows past many old houses where people trade bread and stories until evening comes again with quiet songs over green hills beyond every little harbour town under bright stars while children learn their letters near windows".split()
+    return [" ".join(rnd.choice(words) for _ in range(80)) for _ in range(n)]
+
+
+def test_random_tokens_are_found_wherever_they_stand(spark):
+    """Recall by length and frame, and false finds among names, addresses and words run together."""
+    rnd = random.Random(41)
+    plain, texts, where = prose(rnd, 600), [], []
+    for n in (20, 32, 40, 64):
+        for f in FRAMES:
+            for _ in range(12):
+                texts.append(f.format("".join(rnd.choice(LETTERS) for _ in range(n))))
+                where.append((n, f))
+    words = " ".join(plain).split()
+    pick = lambda k: [rnd.choice(words) for _ in range(k)]
+    false = []
+    for _ in range(60):
+        false += ["see " + "-".join(pick(7)) + " there", "https://site.example/" + "/".join(pick(6)) + "/index", "call " + "".join(w.title() for w in pick(6)) + "()", "in " + "_".join(pick(6)), "x " + "".join(pick(6)) + " y"]
+    every = plain + texts + false
+    got = {r.doc_id: len(r.more) for r in secrets.found_spans(spark.createDataFrame(list(enumerate(every)), DOC)).collect()}
+    found = defaultdict(list)
+    for i, w in enumerate(where):
+        found[w].append(got[len(plain) + i] > 0)
+    by_length = {n: sum(sum(found[n, f]) for f in FRAMES) / (12 * len(FRAMES)) for n in (20, 32, 40, 64)}
+    assert by_length[20] >= 0.5 and min(by_length[n] for n in (32, 40, 64)) >= 0.85, by_length
+    assert all(sum(found[n, f]) >= 8 for n in (32, 40, 64) for f in FRAMES), found
+    wrong = sum(got[i] > 0 for i in range(len(plain) + len(texts), len(every)))
+    assert wrong <= 0.05 * (wrong + sum(map(sum, found.values()))), wrong
+    assert not any(got[i] for i in range(len(plain)))
+
+
 def test_deviates_on_known_tokens(spark):
-    rows = {r.v: r for r in secrets.tested(spark.createDataFrame([("0123456789abcdef",), ("0000000000000000",), ("0f0f0f0f0f0f0f0f",)], "v string")).collect()}
+    rows = {r.v: r for r in secrets.tested(secrets.with_encoding(spark.createDataFrame([("0123456789abcdef",), ("0000000000000000",), ("0f0f0f0f0f0f0f0f",)], "v string"))).collect()}
     even, same, swing = (rows[k] for k in ("0123456789abcdef", "0000000000000000", "0f0f0f0f0f0f0f0f"))
     assert even.encoding == "hex" and even.squares == 16 and same.squares == 256 and same.z_chi > 5 and swing.z_runs > 3 and swing.z_serial < -2 and even.z_serial > 2
 
