@@ -59,7 +59,7 @@ def main(argv: list[str]) -> int:
             evaluate.write_evaluation(got, spark.read.schema(MANIFEST).json(o.manifest), o.out)
         elif o.what == "compare":
             pairs, ranking, excluded = evaluate.compared_runs(runs.read_results(spark, o.results), spark.read.schema(MANIFEST).json(o.manifest), o.allow_config_diff)
-            text = runs.comparison_report([r.asDict() for r in pairs.orderBy("metric", "left_run", "right_run").collect()], [r[0] for r in excluded.orderBy("question_id").collect()])
+            text = runs.comparison_report([r.asDict() for r in pairs.orderBy("metric", "left_run", "right_run").collect()], [r[0] for r in excluded.orderBy("question_id").collect()], comparing.notes(spark.read.schema(MANIFEST).json(o.manifest)))
             runs.export(pairs, f"{o.out}/pairs")
             runs.export(ranking, f"{o.out}/ranking")
             spark.createDataFrame([(text,)], "value string").write.mode("overwrite").text(f"{o.out}/report")

@@ -84,10 +84,10 @@ def hop_split(metrics: DataFrame) -> DataFrame:
     return got.withColumn("bridge_only_miss", F.col("path_status") == "bridge_missing")
 
 
-def multihop(hops: DataFrame) -> DataFrame:
+def multihop(hops: DataFrame, by: tuple[str, ...] = ("run_id", "k")) -> DataFrame:
     """Per run and k, of chain questions: their number, recalls by role, and the gap between these."""
     own = hops.where("path_status is not null")
-    got = own.groupBy("run_id", "k").agg(
+    got = own.groupBy(*by).agg(
         F.count("*").alias("chain_questions"),
         F.try_divide(F.sum("endpoint_hits"), F.sum("endpoint_count")).alias("endpoint_claim_recall"),
         F.try_divide(F.sum("bridge_hits"), F.sum("bridge_count")).alias("bridge_claim_recall"),
@@ -96,6 +96,13 @@ def multihop(hops: DataFrame) -> DataFrame:
     return got.withColumn("recall_gap", F.col("endpoint_claim_recall") - F.col("bridge_claim_recall"))
 
 
+def multihop_by_chain(hops: DataFrame) -> DataFrame:
+    """multihop() for each chain_id, and once for all with a null chain_id, in one pass. hops: with chain_id."""
+    named = hops.withColumn("chain_id", F.coalesce("chain_id", F.lit("")))
+    each = named.withColumn("chain_id", F.explode(F.array(F.col("chain_id"), F.lit(None).cast("string"))))
+    return multihop(each, ("run_id", "k", "chain_id"))
+
+
 def histogram(df: DataFrame, column: str, by: tuple[str, ...] = ("run_id", "k")) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("questions"))
 

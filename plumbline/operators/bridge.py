@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import document_key
+
 ROLES = ("endpoint", "bridge", "supporting")
 
 
 def roles(questions: DataFrame) -> DataFrame:
-    """question_id, document_name, role of the documents that questions declare."""
+    """question_id, document_key, role of the documents that questions declare."""
     each = F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(f"{r}_documents", F.array().cast("array<string>")).alias("names")) for r in ROLES))
-    got = questions.select("question_id", F.explode(each).alias("x")).select("question_id", "x.role", F.explode("x.names").alias("document_name"))
-    return got.distinct()
+    got = questions.select("question_id", F.explode(each).alias("x")).select("question_id", "x.role", F.explode("x.names").alias("name"))
+    return got.select("question_id", "role", document_key("name").alias("document_key")).distinct()
 
 
 def bridge_metrics(detail: DataFrame, questions: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Per run, question: recalls by role, completeness, document recalls and path_status.
 
-    detail: run_id, question_id, claim_id, kind, document_name, hit. retrieved: run_id, question_id,
-    document_name of the chunks in the window. Text metrics are null where no text claim has the role.
+    detail: run_id, question_id, claim_id, kind, document_key, hit. retrieved: run_id, question_id,
+    document_key of the chunks in the window. Text metrics are null where no text claim has the role.
     """
     own = roles(questions)
-    claims = detail.join(own, ["question_id", "document_name"], "left")
+    claims = detail.join(own, ["question_id", "document_key"], "left")
     text, image = F.col("kind") == "text", F.col("kind") == "asset"
     count = lambda cond, name: F.count_if(cond).alias(name)
     per = claims.groupBy("run_id", "question_id").agg(
@@ -30,7 +32,7 @@ def bridge_metrics(detail: DataFrame, questions: DataFrame, retrieved: DataFrame
         count(image, "image_n"),
         count(image & F.col("hit"), "image_h"),
     )
-    seen = detail.select("run_id", "question_id").distinct().join(own, "question_id").join(retrieved.select("run_id", "question_id", "document_name").distinct().withColumn("__got", F.lit(1)), ["run_id", "question_id", "document_name"], "left")
+    seen = detail.select("run_id", "question_id").distinct().join(own, "question_id").join(retrieved.select("run_id", "question_id", "document_key").distinct().withColumn("__got", F.lit(1)), ["run_id", "question_id", "document_key"], "left")
     docs = seen.groupBy("run_id", "question_id").agg(*(x for r in ROLES for x in (count(F.col("role") == r, f"{r}_docs"), count((F.col("role") == r) & F.col("__got").isNotNull(), f"{r}_got"))))
     got = per.join(docs, ["run_id", "question_id"], "left")
     full = lambda r: F.when(F.col(f"{r}_n") > 0, F.col(f"{r}_h") == F.col(f"{r}_n"))
@@ -41,7 +43,7 @@ def bridge_metrics(detail: DataFrame, questions: DataFrame, retrieved: DataFrame
         "question_id",
         *(F.try_divide(f"{r}_h", f"{r}_n").alias(f"{r}_text_claim_recall") for r in ROLES),
         core.alias("complete_core_bridge_chain"),
-        (core & F.coalesce(full("supporting"), F.lit(True))).alias("complete_declared_text_chain"),
+        F.when(core.isNotNull(), core & F.coalesce(full("supporting"), F.lit(True))).alias("complete_declared_text_chain"),
         F.try_divide("endpoint_got", "endpoint_docs").alias("endpoint_document_recall"),
         F.try_divide("bridge_got", "bridge_docs").alias("bridge_document_recall"),
         (ends & (F.col("bridge_got") < F.col("bridge_docs"))).alias("bridge_only_document_miss"),

@@ -41,6 +41,18 @@ def config_conflicts(runs: DataFrame) -> DataFrame:
     return runs.groupBy("profile").agg(F.count_distinct("request_config").alias("configs")).where("configs > 1")
 
 
+#: Fields that are noted, but don't keep runs from being compared.
+AUDITED = ("evaluator_sha256",)
+
+
+def notes(runs: DataFrame) -> dict:
+    """What a report on compared runs must say: profiles of which runs have different configurations, whether profiles and configurations differ at all, and audited fields that differ. Runs are few: one row for each."""
+    conflict = [r["profile"] for r in config_conflicts(runs).orderBy("profile").collect()]
+    one = runs.agg(F.count_distinct("profile").alias("p"), F.count_distinct("request_config").alias("c")).first()
+    audit = [r["field"] for r in mismatched(runs, AUDITED).orderBy("field").collect()] if set(AUDITED) & set(runs.columns) else []
+    return {"same_profile_config_conflict": conflict, "backend_profiles_differ": one["p"] > 1, "request_config_differs": one["c"] > 1, "evaluator_notes": audit}
+
+
 def gate(runs: DataFrame, allow_config_diff: bool = False) -> None:
     """Raises ComparisonError unless the runs may be compared. Runs are few: one row for each."""
     bad = blockers(runs).where("size(blockers) > 0").orderBy("run_id").collect()

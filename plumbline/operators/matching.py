@@ -151,3 +151,14 @@ def parent_child(chunks: DataFrame) -> DataFrame:
     """Counts of records with children, and of children, for backends that return them."""
     n = F.coalesce(F.size("child_chunks"), F.lit(0))
     return chunks.groupBy(*QUESTION).agg(F.count_if(n > 0).alias("parents"), F.sum(F.greatest(n, F.lit(0))).alias("children"))
+
+
+def parent_records(chunks: DataFrame) -> DataFrame:
+    """A row for each record with children: its rank, the parent chunk, and how many children it has with their best score. Scoring reads the parent's content."""
+    own = chunks.where(F.size("child_chunks") > 0)
+    return own.select(*QUESTION, "rank", F.col("chunk_id").alias("parent_chunk_id"), F.size("child_chunks").alias("child_chunk_count"), F.array_max(F.transform("child_chunks", lambda c: c["score"])).alias("best_child_score"))
+
+
+def ground_truth_documents(claims: DataFrame) -> DataFrame:
+    """question_id and gt_document_count: how many documents a question's claims come from."""
+    return claims.groupBy("question_id").agg(F.count_distinct("document_key").alias("gt_document_count"))

@@ -113,16 +113,16 @@ def hop_rules(t: ExamTables, corpus: DataFrame) -> list[DataFrame]:
     ]
 
 
-def chain_rules(t: ExamTables, per_chain: int | None = None) -> list[DataFrame]:
+def chain_rules(t: ExamTables) -> list[DataFrame]:
     """Questions per chain as declared; relations as the chain's; negatives that share an entity with the chain."""
     asked = t.questions.where("chain_id is not null")
     relation = asked.where("relation_type is not null").join(t.chains.select("chain_id", F.col("relation_type").alias("declared")), "chain_id").where("relation_type <> declared")
     hard = t.negatives.join(asked.select("question_id", "chain_id"), "question_id").join(t.chains.select("chain_id", "bridge_entities"), "chain_id")
     strange = hard.where(~F.exists("bridge_entities", lambda e: F.contains(F.col("span"), e)))
     out = [_rule("relation_mismatch", relation, "question_id", F.col("declared")), _rule("negative_without_entity", strange, "negative_id")]
-    if per_chain is not None:
-        n = t.chains.select("chain_id").join(asked.groupBy("chain_id").agg(F.count("*").alias("n")), "chain_id", "left").na.fill(0)
-        out.append(_rule("questions_per_chain", n.where(F.col("n") != per_chain), "chain_id", F.col("n")))
+    n = t.chains.select("chain_id").join(asked.groupBy("chain_id").agg(F.count("*").alias("n")), "chain_id", "left").na.fill(0)
+    want = t.exam.select(F.col("exam_meta.entity_bridge_design.questions_per_chain").alias("want")).where("want is not null")  # one row, or none
+    out.append(_rule("questions_per_chain", n.join(want, F.col("n") != F.col("want")), "chain_id", F.col("n")))
     return out
 
 
@@ -132,11 +132,21 @@ def drift_rule(t: ExamTables, corpus: DataFrame) -> DataFrame:
     return _rule("corpus_drift", drifted(t.documents, corpus), "name", F.col("why"))
 
 
-def violations(t: ExamTables, corpus: DataFrame, allow_corpus_drift: bool = False) -> DataFrame:
-    """All violations. corpus: name, document_key, sha256, text, text_norm."""
+def image_rule(t: ExamTables, images: DataFrame) -> DataFrame:
+    """Declared images that are missing or differ from the files. images: from read_images()."""
+    from plumbline.sources.corpus import image_faults
+
+    declared = t.exam.select(F.explode("exam_meta.corpus.image_assets").alias("i")).select("i.*")
+    return _rule("image_fault", image_faults(declared, images), "name", F.col("why"))
+
+
+def violations(t: ExamTables, corpus: DataFrame, allow_corpus_drift: bool = False, images: DataFrame | None = None) -> DataFrame:
+    """All violations. corpus: name, document_key, sha256, text, text_norm; images: files beside it, if they are to be checked."""
     rules = [*span_rules(t, corpus), *structure_rules(t), overlap_rule(t), *hop_rules(t, corpus), *chain_rules(t)]
     if not allow_corpus_drift:
         rules.append(drift_rule(t, corpus))
+    if images is not None:
+        rules.append(image_rule(t, images))
     return reduce(DataFrame.unionByName, rules)
 
 

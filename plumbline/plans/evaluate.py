@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import normalize_exact
-from plumbline.operators import aggregates, comparing, matching, validation
+from plumbline.functions.text import normalize_exact, rounded
+from plumbline.operators import aggregates, bridge, comparing, matching, validation
 from plumbline.sources import backends, corpus, runs
 from plumbline.sources.exam import ExamTables, check_protocol, read_exam, resolved_protocol
 
@@ -33,6 +33,10 @@ class Evaluation:
     headline: DataFrame
     unmatched: DataFrame
     statuses: DataFrame
+    groups: DataFrame
+    multihop: DataFrame
+    bridges: DataFrame
+    bridge_headline: DataFrame
     protocol: dict
     protocol_source: dict
 
@@ -40,7 +44,9 @@ class Evaluation:
 def validated(spark: SparkSession, exam_path: str, corpus_dir: str, allow_corpus_drift: bool = False) -> tuple[ExamTables, dict]:
     """(tables, facts) of a valid exam; raises ExamValidationError with the first violations of another."""
     t, docs = read_exam(spark, exam_path), corpus.read_files(spark, corpus_dir)
-    bad = validation.violations(t, docs, allow_corpus_drift).orderBy("rule", "subject").limit(20).collect()
+    declared = t.exam.select(F.size("exam_meta.corpus.image_assets").alias("n")).first()["n"]
+    images = corpus.read_images(spark, corpus_dir) if declared and declared > 0 else None
+    bad = validation.violations(t, docs, allow_corpus_drift, images).orderBy("rule", "subject").limit(20).collect()
     if bad:
         raise ExamValidationError("; ".join(f"{r['rule']}: {r['subject']} {r['detail']}".strip() for r in bad))
     return t, validation.facts(t, docs).first().asDict()
@@ -56,12 +62,15 @@ def evaluated(
 ) -> Evaluation:
     """Scores captured responses (run_id, question_id, status, body) of any number of runs in one plan.
 
-    Metrics are over questions whose request was answered; the others are in statuses, and left out of
-    comparisons.
+    Metrics are over questions whose request was answered and whose response isn't a fault; the others
+    are in statuses, and left out of comparisons. Headline means are of each question's rounded value.
+    Questions without a cluster are clustered by their chain, and without one stand alone. Bridge
+    metrics are of questions that declare documents by role; there a failed request counts as 0.
     """
     protocol, source = resolved_protocol(t.protocol.first().asDict(), overrides or {})
     check_protocol(protocol)
     k, budget = protocol["primary_k"], protocol["primary_budget"]
+    responses = backends.checked(responses, profile)
     answered = responses.where("status = 'ok'")
     chunks = backends.parsed(answered, profile)
     if aliases is not None:
@@ -76,7 +85,7 @@ def evaluated(
     detail = matching.claim_detail(asked, claims, matching.first_hits(chunks, spans))
     metrics = aggregates.hop_split(matching.question_metrics(detail, protocol["eval_ks"]))
     budgets = matching.budget_recall(asked, chunks, claims, spans, protocol["char_budgets"])
-    about = t.questions.select("question_id", "ord", "role", F.coalesce("cluster_id", "question_id").alias("cluster_id"), "chain_id", "difficulty", "primary_type", "tags")
+    about = t.questions.select("question_id", "ord", "role", F.coalesce("cluster_id", "chain_id", "question_id").alias("cluster_id"), "chain_id", "difficulty", "primary_type", "tags")
     asked_all = responses.select("run_id", "question_id", "status").join(about, "question_id")
     at_k = metrics.where(F.col("k") == k).select("run_id", "question_id", "claim_hits", "claim_count", "claim_recall", "complete", "novel_claim_rank_score", "path_status", "bridge_only_miss", "endpoint_hits", "endpoint_count", "bridge_hits", "bridge_count")
     spent = budgets.where(F.col("budget") == budget).select("run_id", "question_id", F.col("claim_recall").alias("budget_claim_recall"))
@@ -84,15 +93,16 @@ def evaluated(
     questions = asked_all.join(at_k, both, "left").join(spent, both, "left")
     questions = questions.join(matching.intrusion(asked, chunks, t.negatives.select("question_id", "document_key", "span_norm"), k), both, "left")
     targets = t.claims.select("question_id", "document_key")
+    questions = questions.join(matching.ground_truth_documents(targets), "question_id", "left")
     questions = questions.join(matching.off_target(chunks, targets, k).select(*both, "off_target_chunk_rate"), both, "left").join(matching.duplicate_documents(chunks, k).select(*both, "duplicate_document_rate"), both, "left")
 
     scored = questions.where("role = 'scored' and status = 'ok'")
     main = scored.groupBy("run_id").agg(
         F.count("*").alias("questions"),
-        F.avg("claim_recall").alias("macro_claim_recall"),
+        F.avg(rounded(F.col("claim_recall"))).alias("macro_claim_recall"),
         F.try_divide(F.sum("claim_hits"), F.sum("claim_count")).alias("micro_claim_recall"),
         F.avg(F.col("complete").cast("int")).alias("complete_chain_rate"),
-        F.avg("budget_claim_recall").alias("budget_claim_recall"),
+        F.avg(rounded(F.col("budget_claim_recall"))).alias("budget_claim_recall"),
         F.try_divide(F.sum("bridge_hits"), F.sum("bridge_count")).alias("bridge_claim_recall"),
         F.try_divide(F.sum("endpoint_hits"), F.sum("endpoint_count")).alias("endpoint_claim_recall"),
         F.avg(F.col("hard_negative_intrusion").cast("int")).alias("hard_negative_intrusion_rate"),
@@ -106,7 +116,18 @@ def evaluated(
     for part in (main, sanity, auc, empty):
         headline = headline.join(part, "run_id", "left")
     unmatched = matching.unmatched_documents(chunks, t.documents)
-    return Evaluation(chunks, detail, metrics, budgets, questions, headline, unmatched, aggregates.statuses(questions), protocol, source)
+    of_scored = metrics.join(about.where("role = 'scored'").select("question_id", "chain_id", "difficulty", "primary_type"), "question_id")
+    groups = aggregates.group_metrics(of_scored, ("difficulty", "primary_type", "claim_count"))
+    multihop = aggregates.multihop_by_chain(of_scored)
+    roles = t.questions.where("bridge_documents is not null").select("question_id", *(f"{r}_documents" for r in bridge.ROLES))
+    hit = F.coalesce(F.col("first_rank") <= k, F.lit(False)).alias("hit")
+    named = detail.select(*both, "claim_id", "kind", "document_key", hit)
+    bridges = bridge.bridge_metrics(named, roles, chunks.where(F.col("rank") <= k).select(*both, "document_key"))
+    asked_roles = asked_all.where("role = 'scored'").join(roles.select("question_id"), "question_id", "left_semi")
+    values = ("endpoint_text_claim_recall", "bridge_text_claim_recall", "complete_core_bridge_chain", "complete_declared_text_chain")
+    by_question = bridge.question_macro(asked_roles, bridges, values)
+    by_chain = bridge.chain_macro(asked_roles, bridges, values).select("run_id", "independent_chain_count", *(F.col(v).alias(f"chain_macro_{v}") for v in values))
+    return Evaluation(chunks, detail, metrics, budgets, questions, headline, unmatched, aggregates.statuses(questions), groups, multihop, bridges, by_question.join(by_chain, "run_id", "left"), protocol, source)
 
 
 def write_evaluation(e: Evaluation, manifest: DataFrame, out: str) -> None:
@@ -117,9 +138,12 @@ def write_evaluation(e: Evaluation, manifest: DataFrame, out: str) -> None:
     runs.write_results(e.questions.drop("tags"), f"{out}/results")
     runs.export(e.headline, f"{out}/summary")
     runs.export(manifest, f"{out}/manifest")
+    for name, df in (("groups", e.groups), ("multihop", e.multihop), ("bridge", e.bridge_headline)):
+        runs.export(df, f"{out}/{name}")
+    hops = e.multihop.where(F.col("k") == e.protocol["primary_k"]).orderBy(F.col("chain_id").isNotNull(), "chain_id").collect()  # a row for each run and chain
     why = {r["run_id"]: r["blockers"] for r in comparing.blockers(manifest).collect()}
     rows = {r["run_id"]: r.asDict() for r in e.headline.collect()}  # a row for each run
-    reports = [(m["run_id"], runs.report(runs.summary(rows.get(m["run_id"], {}), m["run_status"], why[m["run_id"]]), m.asDict())) for m in manifest.collect()]
+    reports = [(m["run_id"], runs.report(runs.summary(rows.get(m["run_id"], {}), m["run_status"], why[m["run_id"]]), m.asDict(), [h.asDict() for h in hops if h["run_id"] == m["run_id"]])) for m in manifest.collect()]
     manifest.sparkSession.createDataFrame(reports, "run_id string, value string").write.mode("overwrite").partitionBy("run_id").text(f"{out}/report")
 
 

@@ -51,12 +51,14 @@ class Profile:
     success_path: str | None = None
     message_path: str | None = None
     supports_top_k: bool = True
+    #: Fields of a record that must be a JSON object or array where they are given.
+    shapes: dict[str, str] = field(default_factory=dict)
     source_sha256: str = ""
     extra: dict = field(default_factory=dict)
 
 
 #: The record fields of the two response families, from which the built-in profiles are made.
-SEGMENTS = {"document_name": "segment.document.name", "document_id": "segment.document_id", "chunk_id": "segment.id", "content": "segment.content", "relevance_score": "score"}
+SEGMENTS = {"document_name": "segment.document.name", "document_id": "segment.document_id", "chunk_id": "segment.id", "content": "segment.content", "relevance_score": "score", "server_top": "segment.position"}
 FLAT = {"document_name": "documentName", "document_id": "documentId", "chunk_id": "chunkId", "content": "content", "relevance_score": "relevanceScore", "server_top": "top"}
 #: A folder of further profiles, found by name as <name>.json.
 PROFILE_DIR = "RETRIEVAL_PROFILE_DIR"
@@ -64,7 +66,7 @@ PROFILE_DIR = "RETRIEVAL_PROFILE_DIR"
 
 def _builtin() -> dict[str, dict]:
     model = {"search_method": "hybrid_search", "reranking_enable": False, "top_k": "{top_k}", "score_threshold_enabled": False, "score_threshold": None}
-    shape = {"request_template": {"query": "{query}", "retrieval_model": model}, "records_path": "records", "field_map": SEGMENTS}
+    shape = {"request_template": {"query": "{query}", "retrieval_model": model}, "records_path": "records", "field_map": SEGMENTS, "shapes": {"segment": "object", "child_chunks": "array"}}
     dataset = shape | {"url_template": "{base_url}/datasets/{dataset_id}/retrieve", "auth": "bearer"}
     console = shape | {"url_template": "{base_url}/datasets/{dataset_id}/hit-testing", "auth": "cookie"}
     flat = {"url_template": "{base_url}/retrieval/{dataset_id}", "request_template": {"query": "{query}", "datasetId": "{dataset_id}"}, "records_path": "content", "field_map": FLAT, "auth": "cookie", "success_path": "success", "message_path": "responseMessage", "supports_top_k": False}
@@ -113,7 +115,7 @@ def build_request(profile: Profile, query: str, dataset_id: str, top_k: int) ->
 
 
 def segment_request(query: str, top_k: int, graph: bool = False, score_threshold_enabled: bool = False, score_threshold: float | None = None, search_method: str = "hybrid_search") -> dict:
-    """A request to the segments' family. coverage_search takes neither graph search nor reranking or weights."""
+    """A request to the segments' family. coverage_search is always reranked, and takes neither graph search nor a reranking mode or weights."""
     if search_method == "coverage_search" and graph:
         raise ValueError("coverage_search can't be used with graph search")
     if score_threshold is not None:
@@ -121,7 +123,7 @@ def segment_request(query: str, top_k: int, graph: bool = False, score_threshold
     covered = search_method == "coverage_search"
     model = {
         "search_method": search_method,
-        "reranking_enable": False,
+        "reranking_enable": covered,
         "reranking_mode": None if covered else "weighted_score",
         "weights": None if covered else {"vector_setting": {"vector_weight": 0.7}, "keyword_setting": {"keyword_weight": 0.3}},
         "graph_search": None if covered else {"enable": graph},
@@ -165,17 +167,34 @@ def parsed(responses: DataFrame, profile: Profile) -> DataFrame:
 
 
 def faults(responses: DataFrame, profile: Profile) -> DataFrame:
-    """run_id, question_id, fault and message of responses that failed: of another shape, or by their own word."""
+    """run_id, question_id, fault and message of responses that failed: of another shape (message: the field), or by their own word."""
     records = F.get_json_object("body", "$." + profile.records_path)
     ok = F.get_json_object("body", "$." + profile.success_path) if profile.success_path else F.lit("true")
     said = F.get_json_object("body", "$." + profile.message_path) if profile.message_path else F.lit(None).cast("string")
-    fault = (
-        F.when(F.col("body").isNull() | ~F.trim("body").startswith("{"), "schema_error")
-        .when(ok.isNull(), "schema_error")
-        .when(ok == "false", "retrieval_error")
-        .when(records.isNull() | ~F.trim(records).startswith("["), "schema_error")
+    begins = {"object": "{", "array": "["}
+    listed = F.from_json(records, "array<string>")
+    lacks = lambda name, shape: F.exists(listed, lambda r: ~F.coalesce(F.get_json_object(r, f"$.{name}"), F.lit(begins[shape])).startswith(begins[shape]))
+    wrong = F.coalesce(*(F.when(lacks(n, k), n) for n, k in profile.shapes.items()), F.lit(None).cast("string"))
+    schema = (
+        F.when(F.col("body").isNull() | ~F.trim("body").startswith("{"), "body")
+        .when(ok.isNull(), profile.success_path or "")
+        .when((ok != "false") & (records.isNull() | ~F.trim(records).startswith("[")), profile.records_path)
+        .when(ok != "false", wrong)
     )
-    return responses.select("run_id", "question_id", fault.alias("fault"), said.alias("message")).where("fault is not null")
+    fault = F.when(schema.isNotNull(), "schema_error").when(ok == "false", "retrieval_error")
+    return responses.select("run_id", "question_id", fault.alias("fault"), F.when(fault == "retrieval_error", said).otherwise(schema).alias("message")).where("fault is not null")
+
+
+def checked(responses: DataFrame, profile: Profile) -> DataFrame:
+    """responses (run_id, question_id, status, body) with the fault as the status of those that say ok but failed, and message."""
+    bad = faults(responses.where("status = 'ok'"), profile)
+    got = responses.drop("message").join(bad, ["run_id", "question_id"], "left")
+    return got.withColumn("status", F.coalesce("fault", "status")).drop("fault")
+
+
+def run_statuses(responses: DataFrame) -> DataFrame:
+    """run_id and run_status: aborted_auth for a run in which the credentials were refused, else completed."""
+    return responses.groupBy("run_id").agg(F.when(F.bool_or(F.col("status").isin("auth_error", "not_sent")), "aborted_auth").otherwise("completed").alias("run_status"))
 
 
 def posted(send: Callable[[str, dict], tuple[int, str]], url: str, payload: dict, retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> dict:
@@ -204,20 +223,31 @@ def posted(send: Callable[[str, dict], tuple[int, str]], url: str, payload: dict
 
 
 def captured(questions: DataFrame, profile: Profile, base_url: str, dataset_id: str, top_k: int, send: Callable[[str, dict], tuple[int, str]], run_id: str) -> DataFrame:
-    """run_id, question_id, status, body, latency_ms of one request for each question; send must be importable on executors."""
+    """run_id, question_id, status, body, latency_ms of one request for each question; send must be importable on executors.
+
+    Refused credentials are a status (auth_error), not an exception: what was answered before is kept,
+    a task posts nothing more after it (not_sent), and Spark doesn't try the task again, which would
+    post its questions twice. Write the table once, then read run_statuses().
+    """
     url = profile.url_template.replace("{base_url}", base_url).replace("{dataset_id}", dataset_id)
 
     def work(batches: Iterator) -> Iterator:
+        refused = False
         for pdf in batches:
             rows = []
             for q, text in zip(pdf["question_id"], pdf["question"], strict=True):
-                began = time.time()
-                try:
-                    status, body = "ok", json.dumps(posted(send, url, build_request(profile, text, dataset_id, top_k)))
-                except AuthError:
-                    raise
-                except RetrievalError as e:
-                    status, body = "request_error", json.dumps({"error": str(e)})
+                began, body = time.time(), None
+                if refused:
+                    status = "not_sent"
+                else:
+                    try:
+                        status, body = "ok", json.dumps(posted(send, url, build_request(profile, text, dataset_id, top_k)))
+                    except AuthError as e:
+                        refused, status, body = True, "auth_error", json.dumps({"error": str(e)})
+                    except ResponseSchemaError as e:
+                        status, body = "schema_error", json.dumps({"error": str(e)})
+                    except RetrievalError as e:
+                        status, body = "request_error", json.dumps({"error": str(e)})
                 rows.append((run_id, q, status, body, (time.time() - began) * 1000))
             yield type(pdf)(rows, columns=["run_id", "question_id", "status", "body", "latency_ms"])
 

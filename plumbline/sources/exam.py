@@ -54,7 +54,7 @@ def exam_tables(exam: DataFrame) -> ExamTables:
     """Tables of an exam read with SCHEMA. In schema 3.0, `scored` gives the role."""
     each = exam.select(F.posexplode("questions").alias("ord", "q"))
     role = F.coalesce("q.question_role", F.when(F.col("q.scored"), "scored").when(~F.col("q.scored"), "diagnostic"))
-    questions = each.select("ord", F.col("q.id").alias("question_id"), role.alias("role"), "q.cluster_id", F.coalesce("q.hop_design.chain_id", "q.chain_id").alias("chain_id"), "q.relation_type", "q.difficulty", "q.primary_type", F.coalesce("q.tags", F.array().cast("array<string>")).alias("tags"), "q.question", "q.reference_answer", "q.evidence_chain", "q.hop_design")
+    questions = each.select("ord", F.col("q.id").alias("question_id"), role.alias("role"), "q.cluster_id", F.coalesce("q.hop_design.chain_id", "q.chain_id").alias("chain_id"), "q.relation_type", "q.difficulty", "q.primary_type", F.coalesce("q.tags", F.array().cast("array<string>")).alias("tags"), "q.question", "q.reference_answer", "q.evidence_chain", "q.hop_design", F.coalesce("q.endpoint_documents", "q.hop_design.endpoint_documents").alias("endpoint_documents"), F.coalesce("q.bridge_documents", "q.hop_design.bridge_documents").alias("bridge_documents"), "q.supporting_documents")
     claims = each.select(F.col("q.id").alias("question_id"), F.posexplode("q.claims").alias("claim_ord", "c"))
     claims = claims.select("question_id", F.col("c.id").alias("claim_id"), "claim_ord", F.coalesce("c.kind", F.lit("text")).alias("kind"), "c.claim_type", "c.hop_role", F.col("c.source_document").alias("document_name"), document_key("c.source_document").alias("document_key"), "c.section", "c.accepted_spans")
     spans = claims.select("question_id", "claim_id", "document_key", F.posexplode("accepted_spans").alias("span_index", "span")).withColumn("span_norm", normalize_exact("span"))
@@ -106,3 +106,16 @@ def limited(questions: DataFrame, n: int) -> DataFrame:
     """The first n questions in the exam's order, for a smoke run; such a run can't be compared."""
     return questions.orderBy("ord").limit(n)
 
+
+
+def check_options(profile: str, flat: bool, search_method: str | None = None, graph: bool = False, score_threshold: float | None = None) -> None:
+    """Raises OptionError for options of the segments' family given to a flat backend, and for ones that exclude each other."""
+    if flat and (search_method or graph or score_threshold is not None):
+        raise OptionError(f"{profile} takes no search method, graph search or score threshold")
+    if search_method == "coverage_search" and graph:
+        raise OptionError("coverage_search can't be used with graph search")
+
+
+def check_depth(protocol: dict, supports_top_k: bool) -> str | None:
+    """A note for backends that can't be told how many chunks to return: recall beyond what they send can't be seen."""
+    return None if supports_top_k else f"the backend decides how many chunks it returns; up to {protocol['request_k']} are read"

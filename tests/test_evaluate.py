@@ -1,5 +1,6 @@
 """From captured responses to reports and comparisons, with answers made up for a fixture exam."""
 
+import hashlib
 import json
 
 import exam_fixture as X
@@ -8,6 +9,8 @@ from plumbline import __main__ as cli
 from plumbline.operators.comparing import ComparisonError
 from plumbline.plans import evaluate
 from plumbline.sources import backends
+from plumbline.sources import exam as E
+from pyspark.sql import functions as F
 
 
 def body(*records):
@@ -62,6 +65,45 @@ def test_runs_side_by_side(spark, tables):
     assert e.questions.where("run_id = 'a' and question_id = 'both'").first().hard_negative_intrusion  # whole documents come back, the negative's too
 
 
+def test_groups_hops_and_bridges(spark, tables):
+    e = evaluate.evaluated(tables, responses(spark, {"a": perfect, "b": no_bridge}, failed={("a", "cool")}), backends.load_profile("segments-api"))
+    hops = {(r.run_id, r.chain_id): r for r in e.multihop.where("k = 4").collect()}
+    assert set(hops) == {(r, c) for r in "ab" for c in (None, "harbour")}
+    assert (hops["a", None].bridge_claim_recall, hops["b", "harbour"].bridge_claim_recall, hops["b", "harbour"].endpoint_claim_recall) == (1.0, 0.0, 1.0)
+    heads = {r.run_id: r for r in e.bridge_headline.collect()}
+    assert (heads["a"].complete_core_bridge_chain, heads["b"].complete_core_bridge_chain, heads["b"].chain_macro_bridge_text_claim_recall, heads["a"].independent_chain_count) == (1.0, 0.0, 0.0, 1)
+    by = {(r.dimension, r.value): r.questions for r in e.groups.where("run_id = 'a' and k = 4").collect()}
+    assert by["difficulty", "hard"] == 2 and by["primary_type", "single"] == 1
+    assert e.questions.where("run_id = 'a' and question_id = 'both'").first().gt_document_count == 2
+
+
+def test_faulty_bodies_are_failures_not_empty_lists(spark, tables):
+    bad = responses(spark, {"a": perfect, "b": perfect}).withColumn("body", F.when(F.col("question_id") == "lid", '{"records": {}}').otherwise(F.col("body")))
+    e = evaluate.evaluated(tables, bad, backends.load_profile("segments-api"))
+    assert {r.status for r in e.questions.where("question_id = 'lid'").collect()} == {"schema_error"}
+    assert {r.macro_claim_recall for r in e.headline.collect()} == {1.0}
+    assert {(r.status, r.n) for r in e.statuses.where("run_id = 'a'").collect()} == {("ok", 6), ("schema_error", 1)}
+
+
+def test_chains_are_clusters_where_no_cluster_is_given(spark, at, tables):
+    data = X.exam()
+    for question in data["questions"]:
+        question.pop("cluster_id")
+    e = evaluate.evaluated(E.read_exam(spark, X.write_json(at / "bare.json", data)), responses(spark, {"a": perfect}), backends.load_profile("segments-api"))
+    assert {r.question_id: r.cluster_id for r in e.questions.collect()} == {q["id"]: "harbour" if q["id"] == "hop" else q["id"] for q in data["questions"]}
+
+
+def test_questions_per_chain_and_images(spark, at):
+    data = X.exam()
+    data["exam_meta"]["entity_bridge_design"] = {"questions_per_chain": 3}
+    png = X.png(6, 4)
+    data["exam_meta"]["corpus"]["image_assets"] = [{"name": "plan.png", "sha256": hashlib.sha256(png).hexdigest(), "media_type": "image/png", "width": 6, "height": 4}, {"name": "gone.png", "sha256": "0", "media_type": "image/png", "width": 1, "height": 1}]
+    (at / "corpus" / "plan.png").write_bytes(png)
+    with pytest.raises(evaluate.ExamValidationError) as caught:
+        evaluate.validated(spark, X.write_json(at / "chained.json", data), f"{at}/corpus")
+    assert "questions_per_chain: harbour 1" in str(caught.value) and "image_fault: gone.png missing" in str(caught.value) and "plan.png" not in str(caught.value)
+
+
 def test_wrong_names_end_a_run(spark, tables):
     strange = lambda q: body(("x.md", "t", 0.5))
     with pytest.raises(evaluate.DocumentNameMismatch, match="x.md"):
