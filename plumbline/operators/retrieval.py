@@ -78,12 +78,14 @@ def anchors(text: Column) -> Column:
 def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """question_id, document_key of the documents that contain a passage (question_id, passage).
 
-    An inner word of each passage is the key of an equi-join, and containment its remaining
-    condition, so that no document meets every passage. A passage without inner word meets all.
+    An inner word of each passage is the key of an equi-join with the documents' words, which are
+    sent without their texts; only pairs that share it meet the text, once each, for containment. A
+    passage without inner word (of one or two words) is compared with all documents.
     """
     keyed = passages.withColumn("__anchor", anchors(F.col("passage")))
-    words = docs.select("document_key", "text", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("__anchor"))
-    met = words.join(keyed.where("__anchor is not null"), "__anchor").where(F.contains("text", "passage")).select("question_id", "document_key")
+    words = docs.select("document_key", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("__anchor"))
+    pairs = words.join(keyed.where("__anchor is not null"), "__anchor").select("question_id", "passage", "document_key").distinct()
+    met = pairs.join(docs.select("document_key", "text"), "document_key").where(F.contains("text", "passage")).select("question_id", "document_key")
     short = keyed.where("__anchor is null").select("question_id", "passage")
     rest = docs.join(short, F.contains("text", "passage")).select("question_id", "document_key")
     return met.unionByName(rest).distinct()

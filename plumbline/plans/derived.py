@@ -8,6 +8,8 @@ more, run B by terms of 8 or more with a score of 2 or more, run C is A's list i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,16 +78,12 @@ class Exam:
         """The retrieved chunks of runs A, B and C."""
         asked = self.passages.withColumnRenamed("passage", "question")
         scores = retrieval.overlap_scores(self.windows, asked, {"sa": 6, "sb": 8})
-        own = W.partitionBy("question_id")
         ties = ("document_key", "chunk_no")
-        both = scores.withColumn("ra", F.row_number().over(own.orderBy(F.desc("sa"), *ties))).withColumn("rb", F.row_number().over(own.orderBy(F.desc("sb"), *ties)))
-        in_a, in_b = F.col("ra") <= 10, (F.col("rb") <= 10) & (F.col("sb") >= 2)
-        top = both.where(in_a | in_b)
-        order = F.md5(F.concat_ws(":", "question_id", *ties))
-        rc = F.row_number().over(W.partitionBy("question_id", in_a).orderBy(order))
-        run = lambda name, rank, score, when: F.when(when, F.struct(F.lit(name).alias("run_id"), rank.alias("rank"), F.col(score).alias("score")))
-        each = F.array_compact(F.array(run("A", F.col("ra"), "sa", in_a), run("B", F.col("rb"), "sb", in_b), run("C", F.col("rc"), "sa", in_a)))
-        top = top.withColumn("rc", rc).select("question_id", *ties, F.explode(each).alias("x")).select("question_id", *ties, "x.*")
+        # Each run's top 10 by a filter of its own, which Spark pushes into the window: a task keeps no more than these of its rows before the shuffle.
+        best = lambda score, kept: kept.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(F.desc(score), *ties))).where("rank <= 10").select("question_id", *ties, "rank", F.col(score).alias("score"))
+        a, b = best("sa", scores), best("sb", scores.where("sb >= 2"))
+        c = a.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(F.md5(F.concat_ws(":", "question_id", *ties)))))
+        top = reduce(DataFrame.unionByName, (df.withColumn("run_id", F.lit(name)) for name, df in (("A", a), ("B", b), ("C", c))))
         got = retrieval.with_content(top, self.docs)
         norm = normalize_text("content")
         return got.select("run_id", "question_id", "rank", "score", "document_key", F.concat_ws(":", *ties).alias("chunk_id"), norm.alias("content_norm"), F.length(norm).alias("norm_len"))

@@ -60,11 +60,12 @@ def span_occurrence(x: Exam) -> DataFrame:
 
 @query(
     "span_uniqueness_violations",
-    f"SELECT claim_id, n AS occurrences FROM (SELECT claim_id, CAST((length(t) - length(replace(t, s, ''))) / length(s) AS BIGINT) AS n FROM (SELECT claim_id, {normalize_sql('d.text')} AS t, {normalize_sql('span')} AS s FROM claims JOIN docs d USING (document_key))) WHERE n <> 1",
+    f"SELECT claim_id, n AS occurrences FROM (SELECT claim_id, CAST((length(t) - length(replace(t, s, ''))) / length(s) AS BIGINT) AS n FROM (SELECT claim_id, {normalize_sql('d.text')} AS t, {normalize_sql('left(span, 6)')} AS s FROM claims JOIN docs d USING (document_key)) WHERE s <> '') WHERE n <> 1",
 )
 def span_uniqueness(x: Exam) -> DataFrame:
-    got = x.claims.join(x.docs, "document_key").select("claim_id", occurrences(normalize_text("text"), normalize_text("span")).alias("occurrences"))
-    return got.where("occurrences <> 1")
+    """Claims of which the first six characters, taken as a span, don't occur exactly once."""
+    got = x.claims.withColumn("short", normalize_text(F.left("span", F.lit(6)))).where("short <> ''").join(x.docs, "document_key")
+    return got.select("claim_id", occurrences(normalize_text("text"), F.col("short")).alias("occurrences")).where("occurrences <> 1")
 
 
 @query("chunk_windows", "SELECT document_key, CAST(chunk_no AS INTEGER) AS chunk_no, length(content) AS n_chars, md5(content) AS content_md5 FROM windows")
@@ -307,8 +308,8 @@ def holm(x: Exam) -> DataFrame:
 
 
 _BM25 = """,
-qterms AS (SELECT question_id, term, count(*) AS qf FROM (SELECT question_id, unnest(string_split_regex(lower(passage), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term FROM passages) WHERE length(term) >= 6 GROUP BY ALL),
-listed AS (SELECT document_key, chunk_no, list_filter(string_split_regex(lower(content), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda t: length(t) >= 6) AS ts FROM windows),
+qterms AS (SELECT question_id, term, count(*) AS qf FROM (SELECT question_id, unnest(string_split_regex(lower(passage), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term FROM passages) WHERE length(term) >= 1 GROUP BY ALL),
+listed AS (SELECT document_key, chunk_no, list_filter(string_split_regex(lower(content), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda t: length(t) >= 1) AS ts FROM windows),
 size AS (SELECT count(*) AS chunks, avg(len(ts)) AS mean FROM listed),
 tf AS (SELECT document_key, chunk_no, term, count(*) AS tf, max(length) AS length FROM (SELECT document_key, chunk_no, len(ts) AS length, unnest(ts) AS term FROM listed) WHERE term IN (SELECT term FROM qterms) GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -318,7 +319,7 @@ best AS (SELECT question_id, document_key, CAST(chunk_no AS INTEGER) AS chunk_no
 
 
 def _bm25(x: Exam) -> DataFrame:
-    return retrieval.bm25(x.windows, x.passages.withColumnRenamed("passage", "question"), 10, 6)
+    return retrieval.bm25(x.windows, x.passages.withColumnRenamed("passage", "question"), 10)
 
 
 def _tail(text: str) -> str:
@@ -352,12 +353,12 @@ def span_reuse(x: Exam) -> DataFrame:
 
 @query(
     "bridge_leak",
-    "SELECT b.claim_id AS bridge_claim, e.claim_id AS endpoint_claim FROM claims b JOIN claims e ON b.question_id = e.question_id AND b.hop_role = 'bridge' AND e.hop_role = 'endpoint' AND contains(b.span, split_part(e.span, ' ', 1))",
+    "SELECT b.claim_id AS bridge_claim, e.claim_id AS endpoint_claim FROM claims b JOIN claims e ON b.question_id = e.question_id AND b.hop_role = 'bridge' AND e.hop_role = 'endpoint' AND contains(b.span, lower(split_part(e.span, ' ', 2)))",
 )
 def bridge_leak(x: Exam) -> DataFrame:
-    """Bridge evidence that names the entity (here the first word) of an endpoint of its question."""
+    """Bridge evidence that names the entity (here the second word) of an endpoint of its question."""
     bridge = x.claims.where("hop_role = 'bridge'").select("question_id", F.col("claim_id").alias("bridge_claim"), "span")
-    ends = x.claims.where("hop_role = 'endpoint'").select("question_id", F.col("claim_id").alias("endpoint_claim"), F.split_part("span", F.lit(" "), F.lit(1)).alias("entity"))
+    ends = x.claims.where("hop_role = 'endpoint'").select("question_id", F.col("claim_id").alias("endpoint_claim"), F.lower(F.split_part("span", F.lit(" "), F.lit(2))).alias("entity"))
     return bridge.join(ends, "question_id").where(F.contains("span", "entity")).select("bridge_claim", "endpoint_claim")
 
 

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from plumbline.plans import damaged as _damaged  # noqa: F401
 from plumbline.plans import queries as _queries  # noqa: F401
 from plumbline.plans import registry
 
