@@ -95,16 +95,25 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, steps: int = STEPS
     if not rows or len(set(grades.tolist())) < 2:
         level = int(grades[0]) if len(grades) else top
         return Ordinal(weights, np.where(np.arange(top) < level, -20.0, 20.0))
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     place = np.concatenate(rows)
     often = np.bincount(place, minlength=PLACES) >= MIN_DOCS
     owner, place = owner[often[place]], place[often[place]]
-    used, place = np.unique(place, return_inverse=True)
+    used = np.flatnonzero(np.bincount(place, minlength=PLACES))
+    place = np.searchsorted(used, place).astype(np.int32)
     n = len(rows)
-    by_row = np.searchsorted(owner, np.arange(n + 1))
-    order = np.argsort(place, kind="stable")
-    held_by, by_place = owner[order], np.searchsorted(place[order], np.arange(len(used) + 1))
-    sums = lambda x, cuts: np.diff(np.concatenate(([0.0], np.cumsum(x)))[cuts])
+    by_row = np.searchsorted(owner, np.arange(n + 1, dtype=np.int32))
+    held_by = owner[np.argsort(place, kind="stable")]
+    by_place = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(used)))))
+    del owner
+
+    def sums(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Sums of the stretches between cuts, 0 for empty ones."""
+        out, some = np.zeros(len(cuts) - 1), cuts[1:] > cuts[:-1]
+        if len(x):
+            out[some] = np.add.reduceat(x, cuts[:-1][some])
+        return out
+
     above = (grades[:, None] > np.arange(top)).astype(float)
     base = np.clip(above.mean(axis=0), 1e-3, 1 - 1e-3)
     t = np.log((1 - base) / base)
