@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from plumbline.llm._common import forget, hex64, ship, table, written
+from plumbline.llm._common import forget, hex64, settled, ship, table, written
 from plumbline.llm.graph import components
 
 SHINGLE_WORDS = 4
@@ -155,7 +155,9 @@ def grouped(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "t
 #: The near-copy search: words of a shingle, and the similarity of copies as a fraction (Jaccard of their sets of shingles).
 COPY_WORDS, COPY_LIKE = 5, (4, 5)
 #: One text in ONE_IN has its shingles counted to tell common ones (more of few texts, so that LEAST are); the count that makes one common, and how many of them are held.
-ONE_IN, LEAST, COMMON, HELD = 16, 8192, 3, 262_144
+ONE_IN, LEAST, COMMON, HELD = 4, 8192, 3, 262_144
+#: Only hashes below this, two fifths of all, are counted: a prefix takes a fifth of a text's hashes, the least ones first.
+COUNTED = -(1 << 63) + (1 << 64) * 2 // 5
 
 
 def _parts(text: str | None, shingle: int) -> set[bytes]:
@@ -185,7 +187,8 @@ def common_shingles(docs: DataFrame, shingle: int = COPY_WORDS) -> tuple[np.ndar
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, shingle))], schema=target)
+                h = shingles(t, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(h[: np.searchsorted(h, COUNTED)])], schema=target)
 
     held = some.mapInArrow(work, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     got = held.orderBy(F.desc("n"), "h").limit(HELD).toArrow()
@@ -248,6 +251,7 @@ def copies(met: DataFrame, sets: DataFrame, like: tuple[int, int] = COPY_LIKE) -
     stars = written(_pairs(met, F.col("x"), F.col("p0"), like).union(_pairs(met, F.col("x"), F.col("p1"), like)).distinct(), "stars")
     held = written(met.groupBy("x.node", "x.n").agg(F.collect_list("cell").alias("cells")), "held")
     first = components(alike(written(likely(stars, held, like), "likely"), sets, like))
+    settled(met.sparkSession)
 
     sizes = first.groupBy("root").agg(F.count("*").alias("n"))
     weight = F.log2(F.coalesce("n", F.lit(1))).cast("long")
@@ -301,7 +305,9 @@ def deduplicated(docs: DataFrame, shingle: int = COPY_WORDS, like: tuple[int, in
     order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__hash")).alias("best")
     texts = written(own.groupBy("node").agg(order, F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
     forget(own)
+    settled(docs.sparkSession)
     met = cells_of(texts)
+    settled(docs.sparkSession)
     near = met.select("x.node").distinct().withColumnRenamed("node", "__node")
     near = picked(texts.select(F.col("node").alias("__node"), "best").join(near, "__node"))
     sets = written(near.select(F.col("__node").alias("node"), "text").dropDuplicates(["node"]).mapInArrow(whole_sets, "node bigint, hashes array<bigint>"), "sets")

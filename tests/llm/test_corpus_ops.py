@@ -325,6 +325,18 @@ def test_near_copies_equal_brute_force(spark):
     assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == want and len(below) >= 10 and len(like) > 100
 
 
+def test_shared_passages_stay_out_of_prefixes(spark, monkeypatch):
+    """Strangers that share one passage: 24, so few that a sixteenth of all texts holds it hardly ever three times."""
+    monkeypatch.setattr(simhash, "LEAST", 1)
+    rnd = random.Random(32)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([f"s{rnd.randrange(10**6)}" for _ in range(200)] + passage * (i % 250 == 0)) for i in range(6000)]
+    known = simhash.common_shingles(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], FULL))
+    rows = [(i, len(s), simhash.prefix(s, *known).tolist()) for i, s in ((i, simhash.shingles(texts[i])) for i in range(0, 6000, 250))]
+    met = simhash.cells_of(spark.createDataFrame(rows, "node long, n int, prefix array<long>"))
+    assert met.groupBy("cell").count().where("count > 12").isEmpty()
+
+
 def test_graph_components(spark):
     rnd = random.Random(10)
     pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(60)] + [(600, 700 + i) for i in range(50)]
