@@ -14,9 +14,9 @@ components are formed. Then fingerprints of different components that share a ce
 these, those of the cell's largest component needn't be compared with each other. All links between
 different components are found, and no cell is expanded into all its pairs.
 
-Apart from these links, deduplicated() finds near copies for the pipeline: texts of which about 0.8 or
-more of the five-word shingles agree. Its candidates share a rare shingle (a prefix filter), which no
-kind of edit avoids.
+For the pipeline, deduplicated() takes all these links if it is given a radius, and always those of
+near copies, however far apart their fingerprints are: texts of which about 0.8 or more of the five-word shingles agree. Candidates for the
+latter share a rare shingle (a prefix filter), which no kind of edit avoids.
 
 Cases: a null text is empty; a text without words has fingerprint zero, and so links like any other;
 equal rows share a component; a null doc_id never is a component's id unless all its ids are null.
@@ -241,8 +241,8 @@ def alike(pairs: DataFrame, sets: DataFrame, like: tuple[int, int] = COPY_LIKE)
     return pairs.join(side("a"), "a").join(side("b"), "b").where(both * sum(like) >= (F.size("sa") + F.size("sb")) * like[0]).select("a", "b")
 
 
-def copies(met: DataFrame, sets: DataFrame, like: tuple[int, int] = COPY_LIKE) -> DataFrame:
-    """(node, root) of similar texts. met: from cells_of(); sets: node and hashes for each node in it.
+def copies(met: DataFrame, sets: DataFrame, like: tuple[int, int] = COPY_LIKE, known_links: DataFrame | None = None) -> DataFrame:
+    """(node, root) of similar texts. met: from cells_of(); sets: node and hashes for each node in it; known_links: pairs (a, b) of nodes that are linked in any case.
 
     Similar texts share a hash of their prefixes, whatever the edit. First every text is compared
     with the pivots of its cells, and components are formed; then texts of different components that
@@ -250,7 +250,8 @@ def copies(met: DataFrame, sets: DataFrame, like: tuple[int, int] = COPY_LIKE) -
     """
     stars = written(_pairs(met, F.col("x"), F.col("p0"), like).union(_pairs(met, F.col("x"), F.col("p1"), like)).distinct(), "stars")
     held = written(met.groupBy("x.node", "x.n").agg(F.collect_list("cell").alias("cells")), "held")
-    first = components(alike(written(likely(stars, held, like), "likely"), sets, like))
+    links = alike(written(likely(stars, held, like), "likely"), sets, like)
+    first = components(links.unionByName(known_links) if known_links else links)
     settled(met.sparkSession)
 
     sizes = first.groupBy("root").agg(F.count("*").alias("n"))
@@ -272,8 +273,19 @@ def copies(met: DataFrame, sets: DataFrame, like: tuple[int, int] = COPY_LIKE) -
     return both.unionByName(more.join(first.select("node"), "node", "left_anti"))
 
 
-def deduplicated(docs: DataFrame, shingle: int = COPY_WORDS, like: tuple[int, int] = COPY_LIKE) -> DataFrame:
-    """docs with one document of each group of equal or similar texts: the one with the least doc_id, null last (of rows that share it, one with the least hash of its text). Its columns are those of docs.
+def same_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): each node with the least one of those whose fingerprints linked() puts in one component. prints: node, fp."""
+    distinct = written(prints.select("node", "fp").distinct(), "fps")
+    roots = written(linked(distinct.select("fp").distinct(), radius).withColumnRenamed("node", "fp"), "linked")
+    of = distinct.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    least = of.groupBy("root").agg(F.min("node").alias("b"))
+    out = written(of.join(least, "root").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "same")
+    forget(distinct, roots)
+    return out
+
+
+def deduplicated(docs: DataFrame, shingle: int = COPY_WORDS, like: tuple[int, int] = COPY_LIKE, radius: int | None = None) -> DataFrame:
+    """docs with one document of each group of equal or similar texts, and with a radius of those with linked fingerprints too: the one with the least doc_id, null last (of rows that share it, one with the least hash of its text). Its columns are those of docs.
 
     A node is the hash of a text's set of shingles, so that results don't depend on partitions; texts of equal sets are one node.
     """
@@ -282,14 +294,15 @@ def deduplicated(docs: DataFrame, shingle: int = COPY_WORDS, like: tuple[int, in
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
     marked = docs.withColumn("__hash", F.xxhash64("text"))
     given = marked.select("doc_id", "__hash", "text")
-    whole = StructType([*given.schema.fields[:2], *StructType.fromDDL("node bigint, n int, prefix array<bigint>")])
+    whole = StructType([*given.schema.fields[:2], *StructType.fromDDL("node bigint, fp bigint, n int, prefix array<bigint>")])
     target = to_arrow_schema(whole)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, shingle) for t in b.column(2).to_pylist()]
+            texts = b.column(2).to_pylist()
+            sets = [shingles(t, shingle) for t in texts]
             node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            more = pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s, *common.value, like) for s in sets], pa.list_(pa.int64()))
+            more = pa.array(node), pa.array([None if radius is None else fingerprint(t) for t in texts], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s, *common.value, like) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*b.columns[:2], *more], target, strict=True)], schema=target)
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,6 +317,7 @@ def deduplicated(docs: DataFrame, shingle: int = COPY_WORDS, like: tuple[int, in
     own = written(given.mapInArrow(work, whole), "prints")
     order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__hash")).alias("best")
     texts = written(own.groupBy("node").agg(order, F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+    same = None if radius is None else same_fingerprints(own, radius)
     forget(own)
     settled(docs.sparkSession)
     met = cells_of(texts)
@@ -313,7 +327,7 @@ def deduplicated(docs: DataFrame, shingle: int = COPY_WORDS, like: tuple[int, in
     sets = written(near.select(F.col("__node").alias("node"), "text").dropDuplicates(["node"]).mapInArrow(whole_sets, "node bigint, hashes array<bigint>"), "sets")
     slim = written(texts.select("node", "best"), "texts")
     forget(texts)
-    classes = slim.join(copies(met, sets, like), "node", "left")
+    classes = slim.join(copies(met, sets, like, same), "node", "left")
     best = classes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     return picked(best.select("best")).dropDuplicates(["__id", "__h"]).select(*names)
 

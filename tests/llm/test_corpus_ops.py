@@ -325,6 +325,22 @@ def test_near_copies_equal_brute_force(spark):
     assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == want and len(below) >= 10 and len(like) > 100
 
 
+def test_near_dedup_takes_all_simhash_links(spark):
+    """Fingerprints link these texts, though too few of their five-word shingles agree."""
+    rnd = random.Random(31)
+    texts = []
+    while len(texts) < 6:
+        base = [f"w{rnd.randrange(40)}" for _ in range(60)]
+        other = list(base)
+        for i in rnd.sample(range(60), 3):
+            other[i] = "x"
+        a, b = " ".join(base), " ".join(other)
+        if (brute_fp(a) ^ brute_fp(b)).bit_count() <= 4 and jaccard(a, b) < 0.8:
+            texts += [a, b]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], FULL)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {0, 2, 4}
+
+
 def test_shared_passages_stay_out_of_prefixes(spark, monkeypatch):
     """Strangers that share one passage: 24, so few that a sixteenth of all texts holds it hardly ever three times."""
     monkeypatch.setattr(simhash, "LEAST", 1)
