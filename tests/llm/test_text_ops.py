@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -296,6 +297,13 @@ def test_log_gamma():
     assert np.allclose(lm._log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-9)
 
 
+def test_texts_are_counted_in_small_pieces():
+    """Of many rows of usual length, as of few long ones, a worker holds the arrays of at most 3 MB of text."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["word " * 700] * 2048)], names=["text"])
+    pieces = list(lm._texts(iter([batch]), 0))
+    assert sum(b.num_rows for b in pieces) == 2048 and all(b.num_rows * 3500 <= (3 << 20) + 3500 for b in pieces)
+
+
 class Restaurant:
     """Chinese-restaurant seating, customer by customer."""
 
