@@ -304,6 +304,29 @@ def test_texts_are_counted_in_small_pieces():
     assert sum(b.num_rows for b in pieces) == 2048 and all(b.num_rows * 3500 <= (3 << 20) + 3500 for b in pieces)
 
 
+def test_cells_are_summed_before_they_become_rows(spark, monkeypatch):
+    """The tables of rarer words reach the totals as one row for each task and context at most, however many cells there are."""
+    seen, real = [], lm._sums
+
+    def sums(df, by, value, size):
+        got = real(df, by, value, size)
+        if value.endswith("later"):
+            seen.append((df.rdd.getNumPartitions(), df.count(), got))
+        return got
+
+    monkeypatch.setattr(lm, "_sums", sums)
+    texts = [" ".join(f"{a} w{i % 400}" for a in "abababab") for i in range(800)]
+    model = lm.train(spark.createDataFrame(list(enumerate(texts)), DOC), sweeps=2, burn=0, head=2, contexts=2)
+    want, contexts, cells = np.zeros(model.head.contexts + lm.SHARED), set(), 0
+    for r in model.rare.collect():
+        contexts |= set(r.contexts)
+        for u, later in zip(r.contexts, r.later, strict=True):
+            want[u] += later
+            cells += later > 0
+    assert len(seen) == 3 and (seen[-1][2] == want).all() and cells > 300
+    assert all(rows <= tasks * len(contexts) < cells for tasks, rows, _ in seen)
+
+
 class Restaurant:
     """Chinese-restaurant seating, customer by customer."""
 
