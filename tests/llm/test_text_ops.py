@@ -304,6 +304,22 @@ def test_texts_are_counted_in_small_pieces():
     assert sum(b.num_rows for b in pieces) == 2048 and all(b.num_rows * 3500 <= (3 << 20) + 3500 for b in pieces)
 
 
+def test_words_of_all_pieces_are_counted():
+    """The pieces after a batch's first one hold their own words, with nulls as without."""
+    rnd = random.Random(3)
+    texts = [" ".join(f"W{rnd.randint(0, 5000)}" for _ in range(rnd.randint(1, 1500))) for _ in range(2048)]
+    for given in (texts, [None, *texts[1:700], None, *texts[701:]]):
+        got, pieces = Counter(), list(lm._texts(iter([pa.RecordBatch.from_arrays([pa.array(given)], names=["text"])]), 0))
+        sizes = []
+        for b in pieces:
+            words = lm.Words(b.column(0))
+            sizes += words.sizes.tolist()
+            got.update(dict(zip(words.keys.tolist(), np.bincount(words.word, minlength=len(words.keys)).tolist(), strict=True)))
+        want = Counter(w for t in given for w in tokens(t))
+        assert len(pieces) > 2 and sizes == [len(tokens(t)) for t in given]
+        assert got == {key_of(w): n for w, n in want.items()}
+
+
 def test_cells_are_summed_before_they_become_rows(spark, monkeypatch):
     """The tables of rarer words reach the totals as one row for each task and context at most, however many cells there are."""
     seen, real = [], lm._sums
