@@ -363,6 +363,22 @@ def test_graph_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_take_few_jobs(spark, monkeypatch):
+    """Rounds of joins weigh on the driver, so a small graph needs none; with many edges they go on until few are left."""
+    pairs = [(i, i + 1) for i in range(300)] + [(2**60, -5), (-5, 1000), (1000, 1000), (2000, 2000)]
+    want = dict.fromkeys(range(301), 0) | {2**60: -5, -5: -5, 1000: -5}
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    sc, jobs = spark.sparkContext, {}
+    for few in (1 << 16, 20, 0):
+        monkeypatch.setattr(graph, "FEW", few)
+        sc.setJobGroup(f"few{few}", "")
+        got = graph.components(edges)
+        jobs[few] = len(sc.statusTracker().getJobIdsForGroup(f"few{few}"))
+        sc.setJobGroup("", "")
+        assert {r.node: r.root for r in got.collect()} == want
+    assert jobs[1 << 16] <= 8 < jobs[20] < jobs[0]
+
+
 def check_shards(rows, texts, shards):
     counts = Counter(r.shard for r in rows)
     assert len(rows) == len(texts) and max(counts.values()) - min([counts[s] for s in range(shards)]) <= 1
