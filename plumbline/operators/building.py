@@ -217,7 +217,7 @@ def screen(tables, corpus: DataFrame, window: int = 200, overlap: int = 50, top_
     chunks = windows.withColumn("whole", F.col("content")).withColumn("content", spaced("content"))
     asked = t.questions.join(t.claims.select("question_id").distinct(), "question_id", "left_semi")
     found = retrieval.bm25(chunks, asked.select("question_id", spaced("question").alias("question")), top_k, least)
-    top = found.join(windows, ["document_key", "chunk_no"]).withColumn("content_norm", normalize_exact("content"))
+    top = retrieval.with_content(found, corpus, window, overlap).withColumn("content_norm", normalize_exact("content"))
     hit = top.join(t.spans, ["question_id", "document_key"]).where(F.contains("content_norm", "span_norm")).select("question_id", "claim_id").distinct().withColumn("hit", F.lit(1))
     per = t.claims.join(hit, ["question_id", "claim_id"], "left").groupBy("question_id").agg(F.count("*").alias("claims"), F.count("hit").alias("hits"))
     bridge = t.claims.where("hop_role = 'bridge'").select("question_id", "document_key").join(found.select("question_id", "document_key"), ["question_id", "document_key"], "left_semi").select("question_id").distinct().withColumn("__b", F.lit(True))

@@ -8,7 +8,7 @@ more, run B by terms of 8 or more with a score of 2 or more, run C is A's list i
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import normalize_sql, normalize_text
 from plumbline.operators import matching, retrieval
+from plumbline.operators.shared import written
 
 KS = [1, 3, 5, 10]
 PRIMARY_K = 5
@@ -23,7 +24,11 @@ BUDGETS = [200, 400, 1000]
 
 
 class Exam:
-    """The derived tables of one folder of driver tables; each is a plan, built when asked for."""
+    """The derived tables of one folder of driver tables; each is a plan, built when asked for.
+
+    Those that most plans read several times are written when they are first asked for, so that each takes its passes
+    over the texts once, and joins with documents know that they are small.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
@@ -39,10 +44,10 @@ class Exam:
     def passages(self) -> DataFrame:
         return self.table("benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("passage"))
 
-    @property
+    @cached_property
     def truth(self) -> DataFrame:
         """question_id, document_key of all documents that contain the passage."""
-        return retrieval.containing(self.docs.select("document_key", "text"), self.passages)
+        return written(retrieval.containing(self.docs.select("document_key", "text"), self.passages), "truth")
 
     @property
     def sources(self) -> DataFrame:
@@ -73,20 +78,17 @@ class Exam:
     def windows(self) -> DataFrame:
         return retrieval.chunk_windows(self.docs)
 
-    @property
+    @cached_property
     def chunks(self) -> DataFrame:
         """The retrieved chunks of runs A, B and C."""
         asked = self.passages.withColumnRenamed("passage", "question")
-        scores = retrieval.overlap_scores(self.windows, asked, {"sa": 6, "sb": 8})
         ties = ("document_key", "chunk_no")
-        # Each run's top 10 by a filter of its own, which Spark pushes into the window: a task keeps no more than these of its rows before the shuffle.
-        best = lambda score, kept: kept.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(F.desc(score), *ties))).where("rank <= 10").select("question_id", *ties, "rank", F.col(score).alias("score"))
-        a, b = best("sa", scores), best("sb", scores.where("sb >= 2"))
-        c = a.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(F.md5(F.concat_ws(":", "question_id", *ties)))))
-        top = reduce(DataFrame.unionByName, (df.withColumn("run_id", F.lit(name)) for name, df in (("A", a), ("B", b), ("C", c))))
-        got = retrieval.with_content(top, self.docs)
+        best = written(retrieval.overlap_best(self.windows, asked, {"A": 6, "B": 8}), "best").withColumnRenamed("list", "run_id")
+        a, b = best.where("run_id = 'A'"), best.where("run_id = 'B' and score >= 2")
+        c = a.withColumn("run_id", F.lit("C")).withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(F.md5(F.concat_ws(":", "question_id", *ties)))))
+        got = retrieval.with_content(reduce(DataFrame.unionByName, (a, b, c)), self.docs)
         norm = normalize_text("content")
-        return got.select("run_id", "question_id", "rank", "score", "document_key", F.concat_ws(":", *ties).alias("chunk_id"), norm.alias("content_norm"), F.length(norm).alias("norm_len"))
+        return written(got.select("run_id", "question_id", "rank", "score", "document_key", F.concat_ws(":", *ties).alias("chunk_id"), norm.alias("content_norm"), F.length(norm).alias("norm_len")), "chunks")
 
     @property
     def runs(self) -> DataFrame:
