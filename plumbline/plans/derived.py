@@ -59,7 +59,7 @@ class Exam:
         got = self.passages.join(self.sources.withColumnRenamed("document_key", "source_key"), "question_id", "left")
         return got.select("question_id", F.col("passage").alias("question"), "source_key", F.when(F.col("source_key").isNull(), "unanswerable").otherwise("scored").alias("role"))
 
-    @property
+    @cached_property
     def claims(self) -> DataFrame:
         """Claims of answerable questions, with first and last sentences as endpoints where there are three or more."""
         parts = F.filter(F.split("passage", r"\. |\n"), lambda s: F.length(s) >= 12)
@@ -68,7 +68,7 @@ class Exam:
         role = F.when(F.col("n") >= 3, F.when(edge, "endpoint").otherwise("bridge"))
         kind = F.when(F.col("claim_ord") == 0, "anchor").otherwise("passage")
         each = each.select("question_id", F.concat_ws("_c", "question_id", F.col("claim_ord") + 1).alias("claim_id"), "claim_ord", "span", kind.alias("claim_type"), role.alias("hop_role"))
-        return each.join(self.sources, "question_id")
+        return written(each.join(self.sources, "question_id"), "claims")
 
     @property
     def spans(self) -> DataFrame:
@@ -113,13 +113,14 @@ class Exam:
         own = self.sources.join(self.docs.drop("text"), "document_key").select("question_id", "lang", "source")
         return self.metrics.join(own, "question_id").withColumn("cluster_id", F.col("source"))
 
-    @property
+    @cached_property
     def negatives(self) -> DataFrame:
         """The best of run B's documents that don't hold the passage, with the first 40 normalised characters."""
         b = self.chunks.where("run_id = 'B'").select("question_id", "document_key", "rank")
         off = b.join(self.truth, ["question_id", "document_key"], "left_anti").groupBy("question_id").agg(F.min_by("document_key", "rank").alias("document_key"))
-        text = self.docs.select("document_key", F.left(normalize_text("text"), F.lit(40)).alias("span_norm"))
-        return off.join(text, "document_key").where("span_norm <> ''").select("question_id", "document_key", "span_norm")
+        text = off.join(self.docs.select("document_key", "text"), "document_key").withColumn("span_norm", F.left(normalize_text("text"), F.lit(40)))
+        # Written before the filter, which Spark would push below the join, so that all texts were normalised.
+        return written(text.select("question_id", "document_key", "span_norm"), "negatives").where("span_norm <> ''")
 
 
 #: The same tables in DuckDB SQL, as common table expressions.

@@ -74,6 +74,14 @@ def test_overlap_against_brute_force(spark):
     assert {(r.list, r.question_id, r.document_key, r.score, r["rank"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize(("window", "overlap"), [(200, 50), (30, 0), (7, 6)])
+def test_windows_against_slices(spark, window, overlap):
+    texts = {i: ("a\u00e9\n\U0001f600\r\u2028 x" * 300)[:n] for i, n in enumerate([0, 1, 149, 150, 151, 599, 600, 601, 650, 651, 1350, 2399])}
+    got = retrieval.chunk_windows(spark.createDataFrame([*texts.items(), (99, None)], "document_key int, text string"), window, overlap).collect()
+    step = window - overlap
+    assert {tuple(r) for r in got} == {(k, i // step, t[i : i + window]) for k, t in texts.items() for i in range(0, len(t), step)}
+
+
 def test_bm25_shuffles_the_best_chunks_only(spark):
     chunks = spark.range(4000).select(F.col("id").alias("document_key"), F.lit(0).alias("chunk_no"), F.concat(F.lit("the river and the mill "), F.col("id") % 97).alias("content"))
     asked = spark.range(40).select(F.col("id").alias("question_id"), F.concat(F.lit("the mill and the river "), F.col("id")).alias("question"))
@@ -81,14 +89,35 @@ def test_bm25_shuffles_the_best_chunks_only(spark):
     assert got == 120 and rows < 5000  # 4000 x 40 pairs share a term
 
 
-def test_content_of_the_best_is_read_without_a_shuffle_of_texts(spark, tmp_path):
-    rnd = random.Random(6)
-    docs = [(i, " ".join(f"{rnd.getrandbits(40):x}" for _ in range(2000)) + " the mill by the river stands still" * (i == 7), "en", "s", 0) for i in range(200)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, "the mill by the river")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got, _, size = shuffled(spark, lambda: registry.QUERIES["trivial_questions"](spark, str(tmp_path)).collect())
-    assert [(r.question_id, r.claim_count, r.claim_hits) for r in got] == [(1, 1, 1)]
-    assert size < sum(len(d[1]) for d in docs) / 20
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """A folder of tables whose texts are too large to be broadcast, and the size of these."""
+    at, rnd = tmp_path_factory.mktemp("tables"), random.Random(6)
+    texts = [" ".join(f"{rnd.getrandbits(40):x}" for _ in range(2000)) for _ in range(200)]
+    texts[7] += " the millers by the river stand still"
+    texts[9] = "the millers by a river " + texts[9]
+    docs = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, "the millers by the river"), (2, "no such passage")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "200000")
+    yield str(at), sum(map(len, texts))
+    spark.conf.set(name, before)
+
+
+#: Queries of which the plans shuffled all texts, or their windows.
+READERS = [
+    "trivial_questions",
+    "hard_negative_intrusion",
+]
+
+
+@pytest.mark.parametrize("name", READERS)
+def test_texts_are_read_but_not_shuffled(spark, long_texts, name):
+    at, size = long_texts
+    _, _, sent = shuffled(spark, lambda: registry.QUERIES[name](spark, at).collect())
+    assert sent < size / 20
 
 
 def test_containing_in_blocks_against_brute_force(spark):
