@@ -110,6 +110,7 @@ def long_texts(spark, tmp_path_factory):
 READERS = [
     "trivial_questions",
     "hard_negative_intrusion",
+    "rule_negative_without_entity",
 ]
 
 
