@@ -21,9 +21,14 @@ def _rule(name: str, df: DataFrame, subject: str | Column, detail: str | Column
     return df.select(F.lit(name).alias("rule"), subject.cast("string").alias("subject"), detail.cast("string").alias("detail"))
 
 
+def _texts(corpus: DataFrame, rows: DataFrame) -> DataFrame:
+    """document_key and text_norm of the documents that rows name: Spark normalises texts after this join, so that those of other documents are neither normalised nor shuffled."""
+    return corpus.select("document_key", "text_norm").join(rows.select("document_key").distinct(), "document_key", "left_semi")
+
+
 def span_rules(t: ExamTables, corpus: DataFrame) -> list[DataFrame]:
     """Spans exist in their documents, once; text claims have enough of them, none too long; none serves two questions."""
-    named = t.spans.join(corpus.select("document_key", "text_norm"), "document_key", "left")
+    named = t.spans.join(_texts(corpus, t.spans), "document_key", "left")
     count = F.coalesce(occurrences(F.col("text_norm"), F.col("span_norm")), F.lit(0))
     counted = named.join(t.claims.select("claim_id", "kind"), "claim_id").withColumn("n", count)
     limits = t.constraints.select("min_spans_per_claim", "max_span_normalized_len")
@@ -39,7 +44,7 @@ def span_rules(t: ExamTables, corpus: DataFrame) -> list[DataFrame]:
         _rule("span_too_long", long, "claim_id", F.col("span")),
         _rule("span_reused", shared, "claim_id", F.col("span_norm")),
         _rule("span_reused", repeated, "claim_id", F.col("span_norm")),
-        _rule("negative_missing", t.negatives.join(corpus.select("document_key", "text_norm"), "document_key", "left").where(~F.coalesce(F.contains("text_norm", "span_norm"), F.lit(False))), "negative_id", F.col("span")),
+        _rule("negative_missing", t.negatives.join(_texts(corpus, t.negatives), "document_key", "left").where(~F.coalesce(F.contains("text_norm", "span_norm"), F.lit(False))), "negative_id", F.col("span")),
     ]
 
 

@@ -111,6 +111,7 @@ READERS = [
     "trivial_questions",
     "hard_negative_intrusion",
     "rule_negative_without_entity",
+    "rule_negative_missing",
 ]
 
 
