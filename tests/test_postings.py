@@ -112,6 +112,7 @@ READERS = [
     "hard_negative_intrusion",
     "rule_negative_without_entity",
     "rule_negative_missing",
+    "holm",
 ]
 
 
