@@ -114,6 +114,7 @@ READERS = [
     "rule_negative_missing",
     "holm",
     "response_parse",
+    "k_curve",
 ]
 
 
