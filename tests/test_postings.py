@@ -115,6 +115,7 @@ READERS = [
     "holm",
     "response_parse",
     "k_curve",
+    "errors_as_zero",
 ]
 
 
