@@ -116,6 +116,7 @@ READERS = [
     "response_parse",
     "k_curve",
     "errors_as_zero",
+    "chain_macro",
 ]
 
 
