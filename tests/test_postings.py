@@ -117,6 +117,7 @@ READERS = [
     "k_curve",
     "errors_as_zero",
     "chain_macro",
+    "bridge_metrics",
 ]
 
 
