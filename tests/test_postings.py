@@ -118,6 +118,7 @@ READERS = [
     "errors_as_zero",
     "chain_macro",
     "bridge_metrics",
+    "rule_too_few",
 ]
 
 
