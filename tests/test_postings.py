@@ -119,6 +119,7 @@ READERS = [
     "chain_macro",
     "bridge_metrics",
     "rule_too_few",
+    "iid_bootstrap",
 ]
 
 
