@@ -120,6 +120,7 @@ READERS = [
     "bridge_metrics",
     "rule_too_few",
     "iid_bootstrap",
+    "comparison",
 ]
 
 
