@@ -121,6 +121,7 @@ READERS = [
     "rule_too_few",
     "iid_bootstrap",
     "comparison",
+    "status_counts",
 ]
 
 
