@@ -122,6 +122,7 @@ READERS = [
     "iid_bootstrap",
     "comparison",
     "status_counts",
+    "excluded_questions",
 ]
 
 
