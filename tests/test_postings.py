@@ -124,6 +124,7 @@ READERS = [
     "status_counts",
     "excluded_questions",
     "cluster_bootstrap",
+    "bridge_chain_macro",
 ]
 
 
