@@ -125,6 +125,7 @@ READERS = [
     "excluded_questions",
     "cluster_bootstrap",
     "bridge_chain_macro",
+    "bridge_status_counts",
 ]
 
 
