@@ -126,6 +126,7 @@ READERS = [
     "cluster_bootstrap",
     "bridge_chain_macro",
     "bridge_status_counts",
+    "unmatched_docs",
 ]
 
 
